@@ -22,3 +22,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from heddle.llm import simhash
 
     return simhash.op10_simhash(table(spark, sf_dir, "documents"))
+
+
+@_add
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heddle.llm import rules
+
+    judged = rules.judge(table(spark, sf_dir, "documents"), rules.trusted_ids(table(spark, sf_dir, "labels")))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
