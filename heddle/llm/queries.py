@@ -30,3 +30,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     judged = rules.judge(table(spark, sf_dir, "documents"), rules.trusted_ids(table(spark, sf_dir, "labels")))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
+
+
+@_add
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heddle.llm import gam
+
+    return gam.op2_quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
