@@ -37,3 +37,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from heddle.llm import gam
 
     return gam.op2_quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_add
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heddle.llm import packing
+
+    return packing.op7_best_fit_packing(table(spark, sf_dir, "documents"))
