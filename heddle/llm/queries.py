@@ -44,3 +44,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from heddle.llm import packing
 
     return packing.op7_best_fit_packing(table(spark, sf_dir, "documents"))
+
+
+@_add
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heddle.llm import secrets
+
+    return secrets.op3_secret_scans(table(spark, sf_dir, "documents"))
