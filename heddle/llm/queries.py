@@ -51,3 +51,10 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from heddle.llm import secrets
 
     return secrets.op3_secret_scans(table(spark, sf_dir, "documents"))
+
+
+@_add
+def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heddle.llm import multiset
+
+    return multiset.op4_document_fingerprints(table(spark, sf_dir, "documents"))
