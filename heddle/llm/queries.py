@@ -58,3 +58,10 @@ def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from heddle.llm import multiset
 
     return multiset.op4_document_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@_add
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heddle.llm import chat
+
+    return chat.op5_chat_formatting(table(spark, sf_dir, "conversations"))
