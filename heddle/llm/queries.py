@@ -65,3 +65,18 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from heddle.llm import chat
 
     return chat.op5_chat_formatting(table(spark, sf_dir, "conversations"))
+
+
+@_add
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heddle.llm import warc
+
+    return warc.op1_warc(table(spark, sf_dir, "pages"))
+
+
+ORACLE_SQL["op1_warc"] = """
+    WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+    h AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS head FROM p)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id <> head THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN payload_bytes >= 1000 AND page_id <> head THEN head END AS refers_to FROM h
+"""
