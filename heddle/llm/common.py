@@ -47,6 +47,15 @@ def words(text: Column) -> Column:
     return F.when(F.length(bare) == 0, F.array().cast("array<string>")).otherwise(F.split(bare, f"[{SPACE_CLASS}]+"))
 
 
+def keep(df: DataFrame, condition: Column | str) -> DataFrame:
+    """Rows that meet a condition on computed columns, judged after these are computed.
+
+    A plain filter would move below them and compute their expressions again, inside lambdas even once an
+    element; a column that isn't deterministic holds it back."""
+    condition = F.expr(condition) if isinstance(condition, str) else condition
+    return df.withColumn("__at", F.monotonically_increasing_id()).where(condition & (F.col("__at") >= 0)).drop("__at")
+
+
 def double_array(values: Iterable[float]) -> Column:
     """One constant array column; the optimizer folds it, so a long list stays one expression."""
     return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")

@@ -82,7 +82,9 @@ def fit_ratio(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", te
     row a bucket to the shuffle. Without trusted documents all ratios are 0."""
     ids = trusted.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id")).distinct().orderBy(F.xxhash64("__id"), "__id").limit(most_trusted)
     marked = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(ids.withColumn("__trusted", F.lit(1))), "__id", "left")
-    grams = hashed_ngrams(marked, text_col="__text", out="g", buckets=buckets).select(F.explode("g").alias("g"), "__trusted")
+    grams = hashed_ngrams(marked, text_col="__text", out="g", buckets=buckets)
+    # Outer: else the optimizer infers a filter from the explode and computes the arrays anew inside it, once an element.
+    grams = grams.select(F.explode_outer("g").alias("g"), "__trusted").where("g is not null")
     counts = {r["g"]: (r["raw"], r["target"]) for r in grams.groupBy("g").agg(F.count(F.lit(1)).alias("raw"), F.count("__trusted").alias("target")).collect()}  # a row a bucket
     raw, target = (sum(c[k] for c in counts.values()) for k in (0, 1))
     if not target:
