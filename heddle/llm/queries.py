@@ -80,3 +80,10 @@ ORACLE_SQL["op1_warc"] = """
     SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id <> head THEN 'revisit' ELSE 'response' END AS record_type,
            CASE WHEN payload_bytes >= 1000 AND page_id <> head THEN head END AS refers_to FROM h
 """
+
+
+@_add
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heddle.llm import html
+
+    return html.op6_html_extraction(table(spark, sf_dir, "pages"))
