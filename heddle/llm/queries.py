@@ -87,3 +87,10 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from heddle.llm import html
 
     return html.op6_html_extraction(table(spark, sf_dir, "pages"))
+
+
+@_add
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heddle.llm import pieces
+
+    return pieces.op8_sentencepiece(table(spark, sf_dir, "documents"))
