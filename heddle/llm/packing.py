@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heddle.llm.common import cut
 
 CAPACITY = 4096
-#: Pieces that one task packs on its own; each such group leaves about one unfilled sequence.
-GROUP = 16_384
+#: Pieces that one task packs on its own; each such group leaves about one sequence unfilled.
+GROUP = 4_096
 END = 1
 _KEPT_WORDS = 1_000_000
+#: Documents that are tokenised together.
+SLICE = 512
+#: Fixed value: the tokenizer's pattern of letters and signs that it keeps together.
+_RUNS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _PIECE = "doc_id {kind}, piece int, start long, length long, ids_crc32 long"
 
 
@@ -33,16 +39,29 @@ class WordIds(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.closes[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
 
     def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self]
+        new = list(words - self.keys())
         if len(self) + len(new) > _KEPT_WORDS:
             self.clear()
             new = list(words)
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self[w] = array("I", e.ids).tobytes()
+        for at in range(0, len(new), 2048):
+            part = new[at : at + 2048]
+            joined = " ".join(part)
+            found = self.tokenizer.encode(joined, add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            closed = np.flatnonzero(self.closes[ids]) + 1  # after each run of letters or signs
+            runs = np.cumsum([1 if w.isalpha() else len(_RUNS.findall(w)) for w in part])
+            if len(closed) == runs[-1] and unicodedata.is_normalized("NFC", joined):
+                cuts = 4 * np.concatenate([[0], closed])[np.concatenate([[0], runs])]
+            else:  # letters that the tokenizer changes in number: ask it for each token's place
+                ends = np.cumsum([len(w) + 1 for w in part])
+                of = np.searchsorted(ends, [a for a, _ in found.offsets], side="right")
+                cuts = 4 * np.searchsorted(of, np.arange(len(part) + 1))
+            ids, cuts = ids.tobytes(), cuts.tolist()
+            self.update(zip(part, [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
 
     def ids(self, words: list[str]) -> bytes:
         return b"".join(map(self.__getitem__, words))
@@ -59,7 +78,9 @@ def known_words(path: str) -> WordIds:
 
 
 def split_words(text: str | None) -> list[str]:
-    return (text or "").replace("\n", " ").split(" ")
+    """Parts between spaces and line feeds. The tokenizer lowers letters; in ASCII that can be done before."""
+    text = (text or "").replace("\n", " ")
+    return (text.lower() if text.isascii() else text).split(" ")
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -78,16 +99,15 @@ def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", p
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = known_words(path or tokenizer_path())
-        for b in batches:
+        for b in (batch.slice(at, SLICE) for batch in batches for at in range(0, batch.num_rows, SLICE)):
             out: list[tuple] = []
             split = [split_words(t.as_py()) for t in b.column(1)]
-            known.learn(set().union(*split) if split else set())
+            known.learn(set().union(*split))
             for key, ws in zip(b.column(0).to_pylist(), split, strict=True):
                 ids = known.ids(ws) + tail
                 out += [(key, k, at // 4, min(width, len(ids) - at) // 4, zlib.crc32(ids[at : at + width])) for k, at in enumerate(range(0, len(ids), width))]
-            cols = list(zip(*out, strict=True)) or [()] * 5
             kinds = (b.column(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     schema = _PIECE.format(kind=docs.schema[id_col].dataType.simpleString())
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(run, schema)
