@@ -56,6 +56,11 @@ def keep(df: DataFrame, condition: Column | str) -> DataFrame:
     return df.withColumn("__at", F.monotonically_increasing_id()).where(condition & (F.col("__at") >= 0)).drop("__at")
 
 
+def carried(docs: DataFrame, *needed: str) -> DataFrame:
+    """The needed columns beside ``__row``, which holds a whole row: whatever names its columns have, nothing computed meanwhile replaces them."""
+    return docs.select(*needed, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"))
+
+
 def double_array(values: Iterable[float]) -> Column:
     """One constant array column; the optimizer folds it, so a long list stays one expression."""
     return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
