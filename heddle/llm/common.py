@@ -69,7 +69,7 @@ def double_array(values: Iterable[float]) -> Column:
 def ordered_parts(df: DataFrame, keys: Sequence[str], payload: Sequence[str], before: int = 0, after: int = 1, per_partition: int = 4) -> tuple[DataFrame, str]:
     """Deal rows into parts by ranges of ``keys`` and sort them, each part with its neighbours' edge rows.
 
-    ``keys`` must identify a row. Split keys come from a sample whose size follows the number of
+    ``keys`` tell rows apart (equal rows may share them). Split keys come from a sample whose size follows the number of
     shuffle partitions, never the input. Returned rows have ``part`` and ``halo`` (-1: the last row
     of the part before, 1: the first row of the part after, 0: the part's own), so that a pass over a
     part sees every row beside its true neighbours. One shuffle; any part may be streamed.
@@ -79,10 +79,10 @@ def ordered_parts(df: DataFrame, keys: Sequence[str], payload: Sequence[str], be
     light = df.select(*keys)
     total = light.count()
     order = F.struct(*keys)
-    rate = min(1.0, 40.0 * n / max(total, 1))
+    rate = min(1.0, 16.0 * n / max(total, 1))
     hashed = F.pmod(F.xxhash64(*keys), F.lit(1_000_003)) < int(rate * 1_000_003) + 1
     sample = [r[0] for r in light.where(hashed).select(order.alias("k")).orderBy("k").collect()]
-    splits = sorted({sample[i * len(sample) // n] for i in range(1, n)}) if sample else []
+    splits = list(dict.fromkeys(sample[i * len(sample) // n] for i in range(1, n))) if sample else []  # in Spark's order
     kind = T.StructType([df.schema[k] for k in keys])
     bounds = spark.createDataFrame([(list(splits),)], T.StructType([T.StructField("splits", T.ArrayType(kind))]))
     with_bounds = lambda d: d.join(F.broadcast(bounds))  # noqa: E731  one row: the split keys

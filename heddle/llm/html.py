@@ -40,7 +40,7 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|template)\b.*?(?:</\1[^
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _INSIDE, _SITE, _OUTSIDE = 1, 2, 0
 #: Pages that share more than this part of the text outside articles are copies, not neighbours.
-COPY = 0.6
+COPY = 0.9
 
 
 def lines(html: str | None) -> list[tuple[int, str]]:

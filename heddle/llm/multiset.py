@@ -6,8 +6,8 @@ matter, and paragraphs are inserted or deleted by adding or subtracting their ve
 
 The vector has two sorts of lanes. *Identity* lanes are expanded from a cryptographic hash of the
 paragraph, modulo 2**64: equal sums mean equal multisets of paragraphs. *Likeness* lanes, modulo 2**32,
-are a signed sketch of the paragraph's three-word runs: the cosine of two documents' lanes estimates how
-many of these they share, with an error of about 1 / sqrt(lanes).
+are a signed sketch of the paragraph's distinct three-word runs: the cosine of two documents' lanes
+estimates how many of these they share, with an error of about 1 / sqrt(lanes).
 """
 
 from __future__ import annotations
@@ -64,7 +64,7 @@ class Fingerprint:
     def _add(self, paragraphs: list[str]) -> None:
         digests = b"".join(hashlib.blake2b(p.encode("utf-8", "surrogatepass"), digest_size=8 * IDENTITY_LANES).digest() for p in paragraphs)
         self.identity = self.identity + np.frombuffer(digests, "<u8").reshape(-1, IDENTITY_LANES).sum(0, dtype=np.uint64)
-        h = [x for p in paragraphs if len(x := shingle_hashes(p, RUN))]
+        h = [np.unique(x) for p in paragraphs if len(x := shingle_hashes(p, RUN))]
         if h:
             h = np.concatenate(h)
             lane = (h % np.uint64(LIKENESS_LANES)).astype(np.int64)
