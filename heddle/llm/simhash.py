@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import reduce
@@ -76,7 +77,7 @@ def segments(fp: Column, n_words: int, per_word: int, width: int) -> Column:
     return F.array(*(F.shiftrightunsigned(F.get(fp, F.lit(k)), s * width).bitwiseAND(mask).bitwiseOR(F.lit((k * per_word + s) << width).cast("long")) for k in range(n_words) for s in range(per_word)))
 
 
-def link_fingerprints(nodes: DataFrame, *, n_words: int, per_word: int, width: int, max_distance: int, cap: int = 48, pivots: int = 6) -> DataFrame:
+def link_fingerprints(nodes: DataFrame, *, n_words: int, per_word: int, width: int, max_distance: int, cap: int = 48, pivots: int = 4) -> DataFrame:
     """Links (a, b) among ``nodes`` (node long, fp array<bigint>; fps distinct) within ``max_distance`` bits.
 
     Multi-index hashing: each segment of a fingerprint is a key of that segment's table. Every
@@ -119,7 +120,7 @@ def link_fingerprints(nodes: DataFrame, *, n_words: int, per_word: int, width: i
     return links
 
 
-def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, n_words: int = 1, per_word: int = 2, width: int = 32, max_distance: int = 2, cap: int = 48) -> DataFrame:
+def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, n_words: int = 1, per_word: int = 2, width: int = 32, max_distance: int = 2, cap: int = 48, pivots: int = 4) -> DataFrame:
     """(id, fp, component): component is the smallest id that links of ``max_distance`` bits or fewer reach.
 
     Rows that share an id share a component. Null ids give null components. Texts without words
@@ -128,7 +129,7 @@ def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     shared_dir(docs.sparkSession)
     prints = cut(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle, n_words=n_words))
     nodes = cut(prints.where("id is not null").groupBy("fp").agg(F.min("id").alias("node")))
-    comps = connected_components(link_fingerprints(nodes, n_words=n_words, per_word=per_word, width=width, max_distance=max_distance, cap=cap))
+    comps = connected_components(link_fingerprints(nodes, n_words=n_words, per_word=per_word, width=width, max_distance=max_distance, cap=cap, pivots=pivots))
     place = nodes.join(comps, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
     return prints.join(place, "fp", "left").select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
 
@@ -139,16 +140,34 @@ def op10_simhash(docs: DataFrame) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex(F.get("fp", F.lit(0)))), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, n_words: int = 4, per_word: int = 3, width: int = 20, max_distance: int = 44) -> DataFrame:
+def tables_for(n: int, *, similarity: float = 0.85, recall: float = 0.95) -> dict[str, int]:
+    """Width and number of tables for ``n`` fingerprints, and the distance that answers to a similarity of about 0.76.
+
+    Keys of log2(n) + 3 bits hold the number of chance matches of a fingerprint the same at every size. A
+    table of that width finds two texts of Jaccard similarity s if at most one of its bits differs, each
+    with probability acos(2s / (1 + s)) / pi; as many tables are made as find ``recall`` of such pairs."""
+    width = min(32, max(12, math.ceil(math.log2(max(n, 2))) + 3))
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    one = (1 - p) ** width + width * p * (1 - p) ** (width - 1)
+    per_word = 64 // width
+    n_words = max(4, math.ceil(math.log(1 - recall) / math.log(1 - one) / per_word))
+    return {"n_words": n_words, "per_word": per_word, "width": width, "max_distance": round(NEAR * 64 * n_words)}
+
+
+#: Share of differing bits that two near copies have at most.
+NEAR = 0.172
+
+
+def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """Documents without near copies: of each group the one with the smallest id stays, with all its columns.
 
-    256-bit SimHash over five-word shingles; 44 of 256 differing bits answer to a Jaccard similarity
-    of about 0.76, so pairs of 0.8 pass with nine in ten. ``width`` sets the tables' selectivity
-    (log2 of the number of distinct texts, or a little more); twelve tables with balls of radius one
-    meet a pair of similarity 0.8 with probability 0.89, of 0.85 with 0.97, of 0.9 with 0.99; groups
-    of several copies are held together by any of their links. Texts without words are left alone
-    (they have nothing to compare), and so are rows with a null id."""
+    SimHash of 256 bits or more over five-word shingles. The distance allowed answers to a Jaccard
+    similarity of about 0.76, since 256 bits estimate one of 0.8 with an error of some 0.03. ``tables_for``
+    sets the tables by the number of documents; a pair of similarity 0.85 meets in one of them with
+    probability 0.95, of 0.9 with 0.99, and a group is held together by any of its links. Texts without
+    words are left alone (they have nothing to compare), and so are rows with a null id."""
     has_words = F.length(F.btrim(F.coalesce(F.col(text_col), F.lit("")), F.lit(" \t\n\x0b\f\r"))) > 0
-    found = simhash_components(docs.where(has_words & F.col(id_col).isNotNull()).select(id_col, text_col), id_col=id_col, text_col=text_col, shingle=shingle, n_words=n_words, per_word=per_word, width=width, max_distance=max_distance)
+    own = docs.where(has_words & F.col(id_col).isNotNull()).select(id_col, text_col)
+    found = simhash_components(own, id_col=id_col, text_col=text_col, shingle=shingle, cap=6, pivots=3, **tables_for(own.count()))
     gone = found.where("component <> id").select(F.col("id").alias("__gone")).distinct()
     return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
