@@ -71,20 +71,20 @@ def distance(a: Column, b: Column, n_words: int) -> Column:
     return reduce(lambda x, y: x + y, [F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(n_words)])
 
 
-def segments(fp: Column, n_words: int, per_word: int, width: int) -> Column:
-    """Keys (segment number above its value) of the segments of each 64-bit word."""
-    mask = F.lit((1 << width) - 1).cast("long")
-    return F.array(*(F.shiftrightunsigned(F.get(fp, F.lit(k)), s * width).bitwiseAND(mask).bitwiseOR(F.lit((k * per_word + s) << width).cast("long")) for k in range(n_words) for s in range(per_word)))
+def segments(fp: Column, tables: int, width: int) -> Column:
+    """Keys (segment number above its value) of the first ``tables`` segments of the 64-bit words."""
+    mask, per_word = F.lit((1 << width) - 1).cast("long"), 64 // width
+    return F.array(*(F.shiftrightunsigned(F.get(fp, F.lit(t // per_word)), t % per_word * width).bitwiseAND(mask).bitwiseOR(F.lit(t << width).cast("long")) for t in range(tables)))
 
 
-def link_fingerprints(nodes: DataFrame, *, n_words: int, per_word: int, width: int, max_distance: int, cap: int = 48, pivots: int = 4) -> DataFrame:
+def link_fingerprints(nodes: DataFrame, *, n_words: int, tables: int, width: int, max_distance: int, cap: int = 48, pivots: int = 4) -> DataFrame:
     """Links (a, b) among ``nodes`` (node long, fp array<bigint>; fps distinct) within ``max_distance`` bits.
 
     Multi-index hashing: each segment of a fingerprint is a key of that segment's table. Every
     fingerprint probes each table with the Hamming ball of radius one around its own segment, and the
     matches are kept if their complete distance is small enough. Two fingerprints are found if some
     segment of theirs differs in one bit or none, which is certain where ``max_distance`` is below
-    twice the number of segments.
+    twice the number of ``tables``.
 
     Tables can have hot keys (over ``cap`` fingerprints that share a segment). Emitting all pairs
     there would grow with the square of the group, so fingerprints that meet one are linked another
@@ -94,7 +94,7 @@ def link_fingerprints(nodes: DataFrame, *, n_words: int, per_word: int, width: i
     same components. For larger distances members are compared with ``pivots`` members of each hot key,
     drawn by hash: the links of a component that has a spanning set among these are found.
     """
-    keys = segments(F.col("fp"), n_words, per_word, width)
+    keys = segments(F.col("fp"), tables, width)
     table = nodes.select(F.explode(keys).alias("key"), "node")
     sizes = table.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *([] if max_distance <= 2 else [F.min(F.struct(F.xxhash64("node", F.lit(j)).alias("h"), "node")).alias(f"p{j}") for j in range(pivots)]))
     ball = F.lit([0, *(1 << j for j in range(width))]).cast("array<bigint>")
@@ -120,7 +120,7 @@ def link_fingerprints(nodes: DataFrame, *, n_words: int, per_word: int, width: i
     return links
 
 
-def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, n_words: int = 1, per_word: int = 2, width: int = 32, max_distance: int = 2, cap: int = 48, pivots: int = 4) -> DataFrame:
+def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, n_words: int = 1, tables: int = 2, width: int = 32, max_distance: int = 2, cap: int = 48, pivots: int = 4) -> DataFrame:
     """(id, fp, component): component is the smallest id that links of ``max_distance`` bits or fewer reach.
 
     Rows that share an id share a component. Null ids give null components. Texts without words
@@ -129,7 +129,7 @@ def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     shared_dir(docs.sparkSession)
     prints = cut(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle, n_words=n_words))
     nodes = cut(prints.where("id is not null").groupBy("fp").agg(F.min("id").alias("node")))
-    comps = connected_components(link_fingerprints(nodes, n_words=n_words, per_word=per_word, width=width, max_distance=max_distance, cap=cap, pivots=pivots))
+    comps = connected_components(link_fingerprints(nodes, n_words=n_words, tables=tables, width=width, max_distance=max_distance, cap=cap, pivots=pivots))
     place = nodes.join(comps, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
     return prints.join(place, "fp", "left").select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
 
@@ -140,8 +140,12 @@ def op10_simhash(docs: DataFrame) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex(F.get("fp", F.lit(0)))), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def tables_for(n: int, *, similarity: float = 0.85, recall: float = 0.95) -> dict[str, int]:
-    """Width and number of tables for ``n`` fingerprints, and the distance that answers to a similarity of about 0.76.
+#: Bits of a near-copy fingerprint, in words of 64, and the share of them in which two near copies may differ.
+NEAR_WORDS, NEAR_SHARE = 8, 0.176
+
+
+def tables_for(n: int, *, similarity: float = 0.82, recall: float = 0.97) -> dict[str, int]:
+    """Words, tables, width and distance to find near copies among ``n`` fingerprints.
 
     Keys of log2(n) + 3 bits hold the number of chance matches of a fingerprint the same at every size. A
     table of that width finds two texts of Jaccard similarity s if at most one of its bits differs, each
@@ -149,22 +153,18 @@ def tables_for(n: int, *, similarity: float = 0.85, recall: float = 0.95) -> dic
     width = min(32, max(12, math.ceil(math.log2(max(n, 2))) + 3))
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     one = (1 - p) ** width + width * p * (1 - p) ** (width - 1)
-    per_word = 64 // width
-    n_words = max(4, math.ceil(math.log(1 - recall) / math.log(1 - one) / per_word))
-    return {"n_words": n_words, "per_word": per_word, "width": width, "max_distance": round(NEAR * 64 * n_words)}
-
-
-#: Share of differing bits that two near copies have at most.
-NEAR = 0.172
+    tables = math.ceil(math.log(1 - recall) / math.log(1 - one))
+    n_words = max(NEAR_WORDS, -(-tables // (64 // width)))
+    return {"n_words": n_words, "tables": tables, "width": width, "max_distance": round(NEAR_SHARE * 64 * n_words)}
 
 
 def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """Documents without near copies: of each group the one with the smallest id stays, with all its columns.
 
-    SimHash of 256 bits or more over five-word shingles. The distance allowed answers to a Jaccard
-    similarity of about 0.76, since 256 bits estimate one of 0.8 with an error of some 0.03. ``tables_for``
-    sets the tables by the number of documents; a pair of similarity 0.85 meets in one of them with
-    probability 0.95, of 0.9 with 0.99, and a group is held together by any of its links. Texts without
+    SimHash of 512 bits or more over five-word shingles. The distance allowed answers to a Jaccard
+    similarity of about 0.74, since 512 bits estimate one of 0.8 with an error of some 0.03. ``tables_for``
+    sets the tables by the number of documents; a pair of similarity 0.82 meets in one of them with
+    probability 0.97, of 0.85 with 0.99, and a group is held together by any of its links. Texts without
     words are left alone (they have nothing to compare), and so are rows with a null id."""
     has_words = F.length(F.btrim(F.coalesce(F.col(text_col), F.lit("")), F.lit(" \t\n\x0b\f\r"))) > 0
     own = docs.where(has_words & F.col(id_col).isNotNull()).select(id_col, text_col)
