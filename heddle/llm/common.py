@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 from collections.abc import Iterable, Sequence
 from functools import reduce
@@ -83,30 +84,31 @@ def ordered_parts(df: DataFrame, keys: Sequence[str], payload: Sequence[str], be
     hashed = F.pmod(F.xxhash64(*keys), F.lit(1_000_003)) < int(rate * 1_000_003) + 1
     sample = [r[0] for r in light.where(hashed).select(order.alias("k")).orderBy("k").collect()]
     splits = list(dict.fromkeys(sample[i * len(sample) // n] for i in range(1, n))) if sample else []  # in Spark's order
-    kind = T.StructType([df.schema[k] for k in keys])
-    bounds = spark.createDataFrame([(list(splits),)], T.StructType([T.StructField("splits", T.ArrayType(kind))]))
-    with_bounds = lambda d: d.join(F.broadcast(bounds))  # noqa: E731  one row: the split keys
-    part = F.size(F.filter("splits", lambda s: s <= F.struct(*keys))) if len(splits) < 64 else _bisect("splits", keys, len(splits))
-    edges = with_bounds(light).select(part.alias("part"), order.alias("k")).groupBy("part").agg(F.min("k").alias("first"), F.max("k").alias("last")).orderBy("part").collect()
-    spread = []
+    kind = T.StructType([T.StructField(k, df.schema[k].dataType) for k in keys])
+    bounds = F.from_json(F.lit(json.dumps([dict(zip(keys, s, strict=True)) for s in splits])), T.ArrayType(kind))  # one constant
+    part = _bisect(bounds, keys, len(splits))
+    edges = light.select(part.alias("part"), order.alias("k")).groupBy("part").agg(F.min("k").alias("first"), F.max("k").alias("last")).orderBy("part").collect()
+    spread: dict[tuple, list[tuple[int, int]]] = {}
     for i, e in enumerate(edges):
         if after and i:
-            spread.append((*e["first"], edges[i - 1]["part"], 1))
+            spread.setdefault(tuple(e["first"]), []).append((edges[i - 1]["part"], 1))
         if before and i + 1 < len(edges):
-            spread.append((*e["last"], edges[i + 1]["part"], -1))
-    halo = spark.createDataFrame(spread, T.StructType([*kind.fields, T.StructField("part", T.IntegerType()), T.StructField("halo", T.IntegerType())]))
-    rest = [c for c in dict.fromkeys([*keys, *payload])]
-    base = df.select(*rest)
-    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys]
-    copies = base.alias("a").join(F.broadcast(halo).alias("h"), reduce(lambda x, y: x & y, same)).select("a.*", "h.part", "h.halo")
-    own = with_bounds(base).select(*rest, part.alias("part"), F.lit(0).alias("halo"))
-    dealt = own.unionByName(copies).repartition(shuffle_partitions(spark), "part")
-    return dealt.sortWithinPartitions("part", *keys), "part"
-
-
-def _bisect(array: str, keys: Sequence[str], n: int) -> Column:
+            spread.setdefault(tuple(e["last"]), []).append((edges[i + 1]["part"], -1))
+    to = T.ArrayType(T.StructType([T.StructField("part", T.IntegerType()), T.StructField("halo", T.IntegerType())]))
+    halo = spark.createDataFrame([(*k, v) for k, v in spread.items()], T.StructType([*kind.fields, T.StructField("to", to)]))
+    base = df.select(*dict.fromkeys([*keys, *payload])).alias("a")
+    same = reduce(lambda x, y: x & y, [F.col(f"a.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys])
+    own = F.array(F.struct(F.col("__p").alias("part"), F.lit(0).alias("halo")))
+    met = base.withColumn("__p", part).alias("a").join(F.broadcast(halo).alias("h"), same, "left")  # two rows a part at most
+    dealt = met.select("a.*", F.explode_outer(F.concat(own, F.coalesce("h.to", F.array().cast(to)))).alias("__t")).select("*", "__t.part", "__t.halo").drop("__p", "__t")
+    return dealt.repartition(shuffle_partitions(spark), "part").sortWithinPartitions("part", *keys), "part"
+
+
+def _bisect(array: Column, keys: Sequence[str], n: int) -> Column:
     """How many entries of a sorted array of ``n`` key structs are not above the row's key: a binary search of log2(n) steps."""
+    if not n:
+        return F.lit(0)
     steps = F.lit([1 << b for b in reversed(range(n.bit_length()))])
     key = F.struct(*keys)
-    fits = lambda at: (at <= n) & (F.get(F.col(array), at - 1) <= key)
+    fits = lambda at: (at <= n) & (F.get(array, at - 1) <= key)
     return F.aggregate(steps, F.lit(0), lambda at, s: F.when(fits(at + s), at + s).otherwise(at))
