@@ -43,7 +43,10 @@ class PieceTable:
         if any(SPACE in texts[i].lstrip(SPACE) for i in normal):
             raise ValueError("a piece goes on after a space, so words can't be encoded apart")
         self.byte_ids = np.array([model.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int64)
-        keys = np.array([_hashes(np.array([[ord(c) for c in texts[i]]], np.uint64))[0, -1] for i in normal], np.uint64)
+        keys = np.zeros(len(normal), np.uint64)
+        for size in {len(texts[i]) for i in normal}:
+            own = [k for k, i in enumerate(normal) if len(texts[i]) == size]
+            keys[own] = _hashes(_points([texts[normal[k]] for k in own]))[:, -1]
         order = np.argsort(keys)
         if (np.diff(keys[order]) == 0).any():
             raise ValueError("two pieces share a hash")
@@ -78,7 +81,7 @@ class PieceTable:
     def viterbi(self, words: list[str]) -> list[bytes]:
         """Ids, as little-endian unsigned 32-bit bytes, of words of one length; ties go to the longer last piece."""
         m, n = len(words), len(words[0])
-        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(m, n).astype(np.uint64)
+        points = _points(words)
         h = _hashes(points)
         found, gains = [], []
         for k in range(1, min(self.longest, n) + 1):
@@ -134,6 +137,11 @@ class PieceTable:
         return text.removeprefix(" ")
 
 
+def _points(words: list[str]) -> np.ndarray:
+    """Code points of words of one length, a row each."""
+    return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(words), -1).astype(np.uint64)
+
+
 def _power(k: int) -> np.uint64:
     return np.uint64(pow(int(_BASE), k, 1 << 64))
 
