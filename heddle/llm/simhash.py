@@ -91,8 +91,9 @@ def link_fingerprints(nodes: DataFrame, *, n_words: int, tables: int, width: int
     way. For ``max_distance`` 2 over one word it is exact: every such fingerprint sends its node to all
     65 points of its radius-one ball; two fingerprints are within two bits if and only if they share a
     point, so linking each point's fingerprints to the smallest of them loses no link, and gives the
-    same components. For larger distances members are compared with ``pivots`` members of each hot key,
-    drawn by hash: the links of a component that has a spanning set among these are found.
+    same components. For larger distances a hot key's members are compared with ``pivots`` of them,
+    drawn by hash, and these with the pivots of the hot keys in their ball; a pair with one member
+    outside hot keys is met from that member's side as ever.
     """
     keys = segments(F.col("fp"), tables, width)
     table = nodes.select(F.explode(keys).alias("key"), "node")
@@ -104,7 +105,9 @@ def link_fingerprints(nodes: DataFrame, *, n_words: int, tables: int, width: int
     near = probes.join(few, "key").select("node", F.explode(F.filter("members", lambda m: m < F.col("node"))).alias("b")).select(F.col("node").alias("a"), "b")
     if max_distance > 2:
         drawn = many.select("key", F.explode(F.array_distinct(F.array(*(F.col(f"p{j}.node") for j in range(pivots))))).alias("b"))
-        near = near.unionByName(probes.join(drawn, "key").where("b <> node").select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")))
+        beside = drawn.select(F.col("b").alias("node"), F.explode(F.transform(ball, lambda m: F.col("key").bitwiseXOR(m))).alias("key"))
+        pairs = table.join(drawn, "key").unionByName(beside.join(drawn, "key")).where("b <> node")
+        near = near.unionByName(pairs.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")))
     near = near.distinct()
     fa = nodes.select(F.col("node").alias("a"), F.col("fp").alias("fa"))
     fb = nodes.select(F.col("node").alias("b"), F.col("fp").alias("fb"))
