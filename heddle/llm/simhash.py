@@ -143,32 +143,36 @@ def op10_simhash(docs: DataFrame) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex(F.get("fp", F.lit(0)))), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-#: Bits of a near-copy fingerprint, in words of 64, and the share of them in which two near copies may differ.
-NEAR_WORDS, NEAR_SHARE = 8, 0.176
+#: Bits of a near-copy fingerprint, in words of 64, the share of them in which two near copies may differ, and the tables.
+NEAR_WORDS, NEAR_SHARE, NEAR_TABLES = 6, 0.176, 12
 
 
-def tables_for(n: int, *, similarity: float = 0.82, recall: float = 0.97) -> dict[str, int]:
+def tables_for(n: int, *, tables: int = NEAR_TABLES) -> dict[str, int]:
     """Words, tables, width and distance to find near copies among ``n`` fingerprints.
 
     Keys of log2(n) + 3 bits hold the number of chance matches of a fingerprint the same at every size. A
-    table of that width finds two texts of Jaccard similarity s if at most one of its bits differs, each
-    with probability acos(2s / (1 + s)) / pi; as many tables are made as find ``recall`` of such pairs."""
+    table finds two texts if at most one bit of its segment differs; ``chance`` says how likely that is.
+    More tables find more, at their price in shuffled rows."""
     width = min(32, max(12, math.ceil(math.log2(max(n, 2))) + 3))
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    one = (1 - p) ** width + width * p * (1 - p) ** (width - 1)
-    tables = math.ceil(math.log(1 - recall) / math.log(1 - one))
     n_words = max(NEAR_WORDS, -(-tables // (64 // width)))
     return {"n_words": n_words, "tables": tables, "width": width, "max_distance": round(NEAR_SHARE * 64 * n_words)}
 
 
+def chance(similarity: float, *, tables: int, width: int) -> float:
+    """Probability that two texts of this Jaccard similarity meet in one of the tables: a bit differs with probability acos(2s / (1 + s)) / pi."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return 1 - (1 - (1 - p) ** width - width * p * (1 - p) ** (width - 1)) ** tables
+
+
 def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """Documents without near copies: of each group the one with the smallest id stays, with all its columns.
 
-    SimHash of 512 bits or more over five-word shingles. The distance allowed answers to a Jaccard
-    similarity of about 0.74, since 512 bits estimate one of 0.8 with an error of some 0.03. ``tables_for``
-    sets the tables by the number of documents; a pair of similarity 0.82 meets in one of them with
-    probability 0.97, of 0.85 with 0.99, and a group is held together by any of its links. Texts without
-    words are left alone (they have nothing to compare), and so are rows with a null id."""
+    SimHash of 384 bits or more over five-word shingles. The distance allowed answers to a Jaccard
+    similarity of about 0.73, since 384 bits estimate one of 0.8 with an error of some 0.03. ``tables_for``
+    sets the tables' keys by the number of documents: among 200,000, a pair of similarity 0.8 meets in a
+    table with probability 0.85, of 0.85 with 0.95, of 0.9 with 0.99, and a group is held together by any
+    of its links. Texts without words are left alone (they have nothing to compare), and so are rows with
+    a null id."""
     has_words = F.length(F.btrim(F.coalesce(F.col(text_col), F.lit("")), F.lit(" \t\n\x0b\f\r"))) > 0
     own = docs.where(has_words & F.col(id_col).isNotNull()).select(id_col, text_col)
     found = simhash_components(own, id_col=id_col, text_col=text_col, shingle=shingle, cap=6, pivots=3, **tables_for(own.count()))

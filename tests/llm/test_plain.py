@@ -361,6 +361,16 @@ def test_near_dedup_recall(spark):
     assert {b for (a, b), j in near.items() if j == 1} <= gone
 
 
+def test_chance_of_meeting():
+    k = simhash.tables_for(200_000)
+    assert k["width"] == 21
+    for similarity, least in ((0.8, 0.84), (0.85, 0.95), (0.9, 0.99)):
+        found = simhash.chance(similarity, tables=k["tables"], width=k["width"])
+        rng, p = np.random.default_rng(6), np.arccos(2 * similarity / (1 + similarity)) / np.pi
+        tried = (rng.random((4000, k["tables"], k["width"])) < p).sum(2).min(1) <= 1
+        assert found > least and abs(tried.mean() - found) < 0.03
+
+
 def test_components_of_a_long_path(spark):
     from heddle.llm.components import connected_components
 
