@@ -77,7 +77,7 @@ def segments(fp: Column, tables: int, width: int) -> Column:
     return F.array(*(F.shiftrightunsigned(F.get(fp, F.lit(t // per_word)), t % per_word * width).bitwiseAND(mask).bitwiseOR(F.lit(t << width).cast("long")) for t in range(tables)))
 
 
-def link_fingerprints(nodes: DataFrame, *, n_words: int, tables: int, width: int, max_distance: int, cap: int = 48, pivots: int = 4) -> DataFrame:
+def link_fingerprints(nodes: DataFrame, *, n_words: int, tables: int, width: int, max_distance: int, cap: int = 48) -> DataFrame:
     """Links (a, b) among ``nodes`` (node long, fp array<bigint>; fps distinct) within ``max_distance`` bits.
 
     Multi-index hashing: each segment of a fingerprint is a key of that segment's table. Every
@@ -86,28 +86,27 @@ def link_fingerprints(nodes: DataFrame, *, n_words: int, tables: int, width: int
     segment of theirs differs in one bit or none, which is certain where ``max_distance`` is below
     twice the number of ``tables``.
 
-    Tables can have hot keys (over ``cap`` fingerprints that share a segment). Emitting all pairs
-    there would grow with the square of the group, so fingerprints that meet one are linked another
-    way. For ``max_distance`` 2 over one word it is exact: every such fingerprint sends its node to all
-    65 points of its radius-one ball; two fingerprints are within two bits if and only if they share a
-    point, so linking each point's fingerprints to the smallest of them loses no link, and gives the
-    same components. For larger distances a hot key's members are compared with ``pivots`` of them,
-    drawn by hash, and these with the pivots of the hot keys in their ball; a pair with one member
-    outside hot keys is met from that member's side as ever.
+    Tables can have hot keys (over ``cap`` fingerprints that share a segment). For ``max_distance`` 2
+    over one word fingerprints that meet one are linked another way, which gives the same components:
+    every such fingerprint sends its node to all 65 points of its radius-one ball; two fingerprints are
+    within two bits if and only if they share a point, so each point's fingerprints are linked to the
+    smallest of them. For larger distances a hot key's members are dealt by hash into blocks of about
+    ``cap``, and a probe goes to every block: all members are compared, and no task gathers a key.
     """
     keys = segments(F.col("fp"), tables, width)
     table = nodes.select(F.explode(keys).alias("key"), "node")
-    sizes = table.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *([] if max_distance <= 2 else [F.min(F.struct(F.xxhash64("node", F.lit(j)).alias("h"), "node")).alias(f"p{j}") for j in range(pivots)]))
+    sizes = table.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     ball = F.lit([0, *(1 << j for j in range(width))]).cast("array<bigint>")
     probes = nodes.select("node", F.explode(keys).alias("seg")).select("node", F.explode(F.transform(ball, lambda m: F.col("seg").bitwiseXOR(m))).alias("key"))
-    many = sizes.where(F.col("n") > cap)
-    few = table.join(sizes.where(F.col("n") <= cap).select("key"), "key").groupBy("key").agg(F.collect_list("node").alias("members"))
-    near = probes.join(few, "key").select("node", F.explode(F.filter("members", lambda m: m < F.col("node"))).alias("b")).select(F.col("node").alias("a"), "b")
-    if max_distance > 2:
-        drawn = many.select("key", F.explode(F.array_distinct(F.array(*(F.col(f"p{j}.node") for j in range(pivots))))).alias("b"))
-        beside = drawn.select(F.col("b").alias("node"), F.explode(F.transform(ball, lambda m: F.col("key").bitwiseXOR(m))).alias("key"))
-        pairs = table.join(drawn, "key").unionByName(beside.join(drawn, "key")).where("b <> node")
-        near = near.unionByName(pairs.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")))
+    if max_distance <= 2:
+        many = sizes.where(F.col("n") > cap)
+        few = table.join(sizes.where(F.col("n") <= cap).select("key"), "key").groupBy("key").agg(F.collect_list("node").alias("members"))
+        near = probes.join(few, "key").select("node", F.explode(F.filter("members", lambda m: m < F.col("node"))).alias("b")).select(F.col("node").alias("a"), "b")
+    else:
+        blocks = sizes.select("key", F.ceil(F.col("n") / cap).alias("blocks"))
+        held = table.join(blocks, "key").select("key", F.pmod(F.xxhash64("node"), "blocks").alias("block"), F.col("node").alias("b"))
+        asked = probes.join(blocks, "key").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("node").alias("a"))
+        near = asked.join(held, ["key", "block"]).where("b < a").select("a", "b")
     near = near.distinct()
     fa = nodes.select(F.col("node").alias("a"), F.col("fp").alias("fa"))
     fb = nodes.select(F.col("node").alias("b"), F.col("fp").alias("fb"))
@@ -123,7 +122,7 @@ def link_fingerprints(nodes: DataFrame, *, n_words: int, tables: int, width: int
     return links
 
 
-def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, n_words: int = 1, tables: int = 2, width: int = 32, max_distance: int = 2, cap: int = 48, pivots: int = 4) -> DataFrame:
+def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, n_words: int = 1, tables: int = 2, width: int = 32, max_distance: int = 2, cap: int = 48) -> DataFrame:
     """(id, fp, component): component is the smallest id that links of ``max_distance`` bits or fewer reach.
 
     Rows that share an id share a component. Null ids give null components. Texts without words
@@ -132,7 +131,7 @@ def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     shared_dir(docs.sparkSession)
     prints = cut(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle, n_words=n_words))
     nodes = cut(prints.where("id is not null").groupBy("fp").agg(F.min("id").alias("node")))
-    comps = connected_components(link_fingerprints(nodes, n_words=n_words, tables=tables, width=width, max_distance=max_distance, cap=cap, pivots=pivots))
+    comps = connected_components(link_fingerprints(nodes, n_words=n_words, tables=tables, width=width, max_distance=max_distance, cap=cap))
     place = nodes.join(comps, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
     return prints.join(place, "fp", "left").select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
 
@@ -175,6 +174,6 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     a null id."""
     has_words = F.length(F.btrim(F.coalesce(F.col(text_col), F.lit("")), F.lit(" \t\n\x0b\f\r"))) > 0
     own = docs.where(has_words & F.col(id_col).isNotNull()).select(id_col, text_col)
-    found = simhash_components(own, id_col=id_col, text_col=text_col, shingle=shingle, cap=6, pivots=3, **tables_for(own.count()))
+    found = simhash_components(own, id_col=id_col, text_col=text_col, shingle=shingle, cap=6, **tables_for(own.count()))
     gone = found.where("component <> id").select(F.col("id").alias("__gone")).distinct()
     return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")

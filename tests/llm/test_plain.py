@@ -338,6 +338,23 @@ def test_links_of_chosen_fingerprints(spark, cap):
     assert cap == 1 or {(max(r["a"], r["b"]), min(r["a"], r["b"])) for r in found} == {(b, a) for a, b in plain}
 
 
+def crowded_links(spark, first, tail):
+    """Links at ``max_distance`` 12 with keys crowded over a cap of 2, and those of all pairs that meet in a table; fps are (low, high) halves."""
+    prints = dict(enumerate([*first, *tail]))
+    nodes = spark.createDataFrame([(n, [(h << 32 | lo) - (2**64 if h >> 31 else 0)]) for n, (lo, h) in prints.items()], "node long, fp array<bigint>")
+    found = simhash.link_fingerprints(nodes, n_words=1, tables=2, width=32, max_distance=12, cap=2).collect()
+    apart = lambda p, q: [(x ^ y).bit_count() for x, y in zip(p, q, strict=True)]
+    plain = {(b, a) for a in prints for b in prints if a < b and min(d := apart(prints[a], prints[b])) <= 1 and sum(d) <= 12}
+    return {(r["a"], r["b"]) for r in found}, plain
+
+
+def test_members_of_a_crowded_key_all_meet(spark):
+    rng = random.Random(8)
+    pairs = [(5, h ^ flip) for h in [rng.getrandbits(32) for _ in range(15)] for flip in (0, 0b10101)]
+    found, plain = crowded_links(spark, pairs, [])
+    assert len(plain) >= 15 and found == plain
+
+
 def test_near_dedup_recall(spark):
     """Against all pairs of five-word shingle sets: nearly every copy of 0.8 or more goes, no document without a near one does."""
     sf = "/root/testdata/sf0.01"
