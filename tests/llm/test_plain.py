@@ -355,6 +355,13 @@ def test_members_of_a_crowded_key_all_meet(spark):
     assert len(plain) >= 15 and found == plain
 
 
+def test_larger_id_beside_a_crowded_key(spark):
+    rng = random.Random(9)
+    crowd = [(5, rng.getrandbits(32)) for _ in range(20)]
+    found, plain = crowded_links(spark, crowd, [(4, h ^ 0b111) for _, h in crowd[7:9]])
+    assert {(20, 7), (21, 8)} <= plain and found == plain
+
+
 def test_near_dedup_recall(spark):
     """Against all pairs of five-word shingle sets: nearly every copy of 0.8 or more goes, no document without a near one does."""
     sf = "/root/testdata/sf0.01"
