@@ -142,6 +142,9 @@ def op10_simhash(docs: DataFrame) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex(F.get("fp", F.lit(0)))), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+#: Near copies have at least this Jaccard similarity.
+NEAR_SIMILARITY = 0.8
+
 #: Bits of a near-copy fingerprint, in words of 64, the share of them in which two near copies may differ, and the tables.
 NEAR_WORDS, NEAR_SHARE, NEAR_TABLES = 6, 0.176, 12
 
@@ -166,14 +169,14 @@ def chance(similarity: float, *, tables: int, width: int) -> float:
 def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """Documents without near copies: of each group the one with the smallest id stays, with all its columns.
 
-    SimHash of 384 bits or more over five-word shingles. The distance allowed answers to a Jaccard
-    similarity of about 0.73, since 384 bits estimate one of 0.8 with an error of some 0.03. ``tables_for``
-    sets the tables' keys by the number of documents: among 200,000, a pair of similarity 0.8 meets in a
-    table with probability 0.85, of 0.85 with 0.95, of 0.9 with 0.99, and a group is held together by any
-    of its links. Texts without words are left alone (they have nothing to compare), and so are rows with
-    a null id."""
+    Groups are held together by pairs of a Jaccard similarity of ``NEAR_SIMILARITY`` or more over
+    five-word shingles. Fingerprints only estimate it, and tables of them miss pairs, so ``setjoin``
+    finds these pairs exactly. Texts without words are left alone (they have nothing to compare), and so
+    are rows with a null id."""
+    from heddle.llm import setjoin
+
     has_words = F.length(F.btrim(F.coalesce(F.col(text_col), F.lit("")), F.lit(" \t\n\x0b\f\r"))) > 0
     own = docs.where(has_words & F.col(id_col).isNotNull()).select(id_col, text_col)
-    found = simhash_components(own, id_col=id_col, text_col=text_col, shingle=shingle, cap=6, **tables_for(own.count()))
+    found = setjoin.near_copies(own, id_col=id_col, text_col=text_col, shingle=shingle, similarity=NEAR_SIMILARITY)
     gone = found.where("component <> id").select(F.col("id").alias("__gone")).distinct()
     return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")

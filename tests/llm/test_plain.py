@@ -385,6 +385,27 @@ def test_near_dedup_recall(spark):
     assert {b for (a, b), j in near.items() if j == 1} <= gone
 
 
+def word_sets(texts):
+    out = {}
+    for i, t in texts.items():
+        w = WORD.findall(t.lower())
+        out[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    return out
+
+
+def test_near_dedup_is_exact_on_a_table(spark):
+    sf = "/root/testdata/sf0.01"
+    texts = {r["doc_id"]: r["text"] for r in table(spark, sf, "documents").collect()}
+    sets, where = word_sets(texts), defaultdict(list)
+    for i, s in sets.items():
+        for g in s:
+            where[g].append(i)
+    shared = Counter((a, b) for ids in where.values() for a in ids for b in ids if a < b)
+    links = [(a, b) for (a, b), n in shared.items() if n >= 0.8 * len(sets[a] | sets[b])]
+    must = {i for i, c in groups(links, texts).items() if c != i}
+    assert set(texts) - {r["doc_id"] for r in simhash.near_dedup(table(spark, sf, "documents")).collect()} == must
+
+
 def test_chance_of_meeting():
     k = simhash.tables_for(200_000)
     assert k["width"] == 21
