@@ -393,6 +393,27 @@ def word_sets(texts):
     return out
 
 
+def test_near_dedup_finds_all_copies_and_no_others(spark):
+    """Documents that share a long passage, each with copies near 0.8 on both sides of it: exactly the pairs of 0.8 or more count."""
+    rng = random.Random(12)
+    word = lambda: "w" + str(rng.randrange(10**6))
+    passage, texts = [word() for _ in range(120)], {}
+    for base in range(60):
+        own = [word() for _ in range(80)]
+        texts[base] = " ".join(passage + own)
+        for k in range(4):
+            copy = passage + own
+            for at in rng.sample(range(200), 1 + k * 2):
+                copy[at] = word()
+            texts[1000 - base * 4 - k] = " ".join(copy)
+    sets = word_sets(texts)
+    links = [(a, b) for a in texts for b in texts if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    lone = sum(1 for a in texts for b in texts if a < b and 0.7 <= len(sets[a] & sets[b]) / len(sets[a] | sets[b]) < 0.8)
+    must = {i for i, c in groups(links, texts).items() if c != i}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert lone > 20 and 60 < len(must) < 240 and set(texts) - {r["doc_id"] for r in simhash.near_dedup(docs).collect()} == must
+
+
 def test_near_dedup_is_exact_on_a_table(spark):
     sf = "/root/testdata/sf0.01"
     texts = {r["doc_id"]: r["text"] for r in table(spark, sf, "documents").collect()}
