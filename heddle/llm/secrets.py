@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 CANDIDATE = "|".join([
     r"\b(?:AKIA|ASIA|ABIA|ACCA)[A-Z0-9]{16}\b",
     r"\b(?:gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk_live_|rk_live_|sk-|AIza|npm_|hf_|eyJ)[A-Za-z0-9_\-.]{16,}",
-    r"(?<=(?:pass|pwd|password|passwd|secret|token|key|auth|credential)[ ]{0,2}[:=][ ]{0,2}[\"']{0,1})[^\s\"'<>]{8,}",
-    r"\b(?=[A-Za-z_\-]{0,40}[0-9])[A-Za-z0-9_\-]{24,}\b",
+    r"(?<=[:= \"'])(?<=(?i:pass|pwd|password|passwd|secret|token|key|auth|credential)[\"']{0,1}[ ]{0,2}[:=][ ]{0,2}[\"']{0,1})[^\s\"'<>]{8,}",
+    r"(?<![A-Za-z0-9+/=_\-.:])(?=[A-Za-z0-9]*[+/=])(?=[a-z0-9+/]*[A-Z])(?=[A-Z0-9+/]*[a-z])(?=[A-Za-z/]*[0-9+])[A-Za-z0-9+/]{24,}={0,2}(?![A-Za-z0-9_\-])",
+    r"\b(?=[A-Za-z_\-]{0,200}[0-9])[A-Za-z0-9_\-]{24,}\b",
 ])
 PREFIX = r"^(?:AKIA|ASIA|ABIA|ACCA|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk_live_|rk_live_|AIza|npm_|hf_)"
 #: Words that name a secret, that belong to other long strings, and that show up in placeholders.
@@ -30,6 +31,11 @@ DICTIONARY = (
     "insert", "item", "list", "load", "local", "manager", "mode", "module", "name", "number", "object", "password", "path", "placeholder", "replace", "sample", "secret", "server", "service",
     "set", "string", "temp", "test", "text", "time", "token", "type", "update", "user", "value", "view", "welcome", "xxx", "your", "1234",
 )
+#: Words of prose that may follow a naming word and a colon.
+LONG_WORDS = (
+    "absolutely", "background", "communication", "description", "environment", "foundation", "generation", "highlights", "information", "knowledge", "leadership", "management",
+    "necessary", "opportunity", "performance", "questions", "relationship", "strength", "technology", "understanding", "volunteers", "whatever", "something", "important",
+)
 FEATURES = ("length", "transitions", "digits", "capitals", "distinct", "hex", "covered", "vowels", "prefix", "naming", "other", "mock_path", "longest_run")
 REDACTED = "[SECRET]"
 _MARK, _END = "\x01\x03", "\x01\x02"
@@ -71,6 +77,7 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
     mixed = F.regexp_replace(F.base64(F.unhex(hexes)), "[+/=]", "")
     pick = lambda k, salt=0: F.pmod(F.xxhash64("id", F.lit(100 + salt)), F.lit(k))
     dict_word = lambda salt: F.element_at(F.lit(list(DICTIONARY)), (pick(len(DICTIONARY), salt) + 1).cast("int"))
+    long_word = lambda salt: F.element_at(F.lit(list(LONG_WORDS)), (pick(len(LONG_WORDS), salt) + 1).cast("int"))
     prose = F.concat_ws(" ", word(1), word(2), word(3))
     uuid = F.regexp_replace(hexes, "^(.{8})(.{4})(.{4})(.{4})(.{12}).*", "$1-$2-$3-$4-$5")
     code, mock = F.concat(F.lit("src/"), word(5), F.lit(".py")), F.concat(F.lit("tests/fixtures/"), word(5), F.lit(".json"))
@@ -89,8 +96,15 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
         (F.regexp_replace(hexes, ".*?([0-9]).*?([0-9]).*", "$1$2$1$2$1$2$1$2$1$2$1$2$1$2$1$2$1$2$1$2$1$2$1$2"), F.concat(prose, F.lit(" order ")), code, 0),
         (F.expr("repeat(substring('x0*', cast(1 + pmod(id, 3) as int), 1), cast(12 + pmod(id, 20) as int))"), F.concat(prose, F.lit(' token = "')), code, 0),
         (F.concat_ws("-", dict_word(1), dict_word(2), dict_word(3), dict_word(4), (F.col("id") % 100).cast("string")), prose, code, 0),
+        (F.expr("lower(substring(m, 1, cast(12 + pmod(id, 13) as int)))"), F.concat(prose, F.lit(" DB_PASSWORD=")), code, 1),
+        (F.expr("substring(lower(m), 1, cast(10 + pmod(id, 13) as int))"), F.concat(prose, F.lit(' {"password": "')), code, 1),
+        (F.expr("concat(substring(l, 1, 4), substring(d, 1, 4), substring(l, 5, 4), substring(d, 5, 4))"), F.concat(prose, F.element_at(F.lit([" DB_PASSWORD=", " API_KEY=", ' "token": "']), (pick(3, 15) + 1).cast("int"))), code, 1),
+        (F.concat(F.translate(dict_word(16), "aeos", "4305"), dict_word(17), (F.col("id") % 100).cast("string")), F.concat(prose, F.element_at(F.lit([" password=", " PASSWORD: ", ' "password": "']), (pick(3, 18) + 1).cast("int"))), code, 1),
+        (F.expr("substring(b, 1, cast(40 + 4 * pmod(id, 10) as int))"), F.concat(prose, F.element_at(F.lit([" Bearer ", " AccountKey ", " login "]), (pick(3, 9) + 1).cast("int"))), code, 1),
+        (F.concat(long_word(11), F.element_at(F.lit(["", ",", ".", "-based"]), (pick(4, 12) + 1).cast("int"))), F.concat(prose, F.element_at(F.lit([" Key: ", " Token: ", " Pass: "]), (pick(3, 13) + 1).cast("int"))), code, 0),
+        (F.concat_ws("/", dict_word(1), F.initcap(dict_word(2)), F.concat(F.initcap(dict_word(3)), (F.col("id") % 10).cast("string")), dict_word(4), long_word(14)), F.concat(prose, F.lit(" ")), code, 0),
     ]
-    made = spark.range(0, n, 1, 4).select("id", hexes.alias("h"), mixed.alias("m"))
+    made = spark.range(0, n, 1, 4).select("id", hexes.alias("h"), mixed.alias("m"), F.base64(F.unhex(hexes)).alias("b"), F.translate(hexes, "0123456789", "ghjkmnprst").alias("l"), F.translate(hexes, "abcdef", "274953").alias("d"))
     at = F.pmod(F.col("id"), F.lit(len(shapes)))
     case = lambda k: reduce(lambda acc, i: acc.when(at == i, shapes[i][k] if k < 3 else F.lit(shapes[i][k])), range(1, len(shapes)), F.when(at == 0, shapes[0][k] if k < 3 else F.lit(shapes[0][k])))
     return made.select(case(0).alias("value"), case(1).alias("left"), prose.alias("right"), case(2).alias("path"), case(3).alias("label"))

@@ -98,6 +98,20 @@ def test_secrets_look_alikes(spark):
     assert row["redacted"] == text.replace("ghp_16C7e42F292c6912E7710c838347Ae178B4a", "[SECRET]")
 
 
+def test_secrets_in_other_spellings(spark):
+    key = "wJalrXUtnFEMI/K7MDENG+bPxRfiCYzR9Qk2LmT8sVcA4oH1uEgZ0w=="
+    late = "ghTkLmNpQrStVwXyZaBcDfGhJkLmNpQrStVwXyZaBcDf7KqP2xZ9"
+    planted = {
+        "run DB_PASSWORD=abcd1234efgh5678 now": "abcd1234efgh5678", "API_KEY=q7Zk29LmXw8vTp4R": "q7Zk29LmXw8vTp4R", "Token: 9fk2mx81qpz7w4": "9fk2mx81qpz7w4",
+        '{"user": "x", "password": "s3cretvalue1"}': "s3cretvalue1", "{'api_key': 'x8Kq29dLmZ7t'}": "x8Kq29dLmZ7t", f"Authorization Bearer {key} end": key, f"the login {late} end": late,
+    }
+    plain = ["Key: information for all", "TOKEN: something else", "see src/main/Java2/com/Example/Something/File for it", "Pass: absolutely, they said"]
+    rows = secrets.scan(spark.createDataFrame([(t, "src/a.py") for t in [*planted, *plain]], "text string, source string"), secrets.fit_forest(secrets.labelled_findings(spark))).collect()
+    found = {r["text"]: [s["value"] for s in r["secrets"]] for r in rows}
+    assert found == {**{t: [v] for t, v in planted.items()}, **{t: [] for t in plain}}
+    assert all(r["redacted"] == r["text"].replace(planted.get(r["text"], "\0"), secrets.REDACTED) for r in rows)
+
+
 def test_forest_column_is_the_forest(spark):
     found = secrets.labelled_findings(spark, 900)
     model = secrets.fit_forest(found, trees=5)
