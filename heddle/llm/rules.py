@@ -17,8 +17,6 @@ SYMBOLS = "#*$%&|<>"
 
 #: Buckets of the hashed n-grams: the model's size, whatever the corpus.
 BUCKETS = 1 << 13
-#: At most so many trusted documents (those with the smallest hashes) make the target; the corpus side has no bound.
-MOST_TRUSTED = 20_000
 #: Added to each bucket's count, as a share of an even spread.
 SMOOTHING = 1.0
 #: Documents whose mean log-likelihood ratio an n-gram is below this are rejected.
@@ -74,14 +72,13 @@ def hashed_ngrams(docs: DataFrame, *, text_col: str, out: str, buckets: int) ->
     return step.withColumn(out, F.concat(one, two)).drop("__t")
 
 
-def fit_ratio(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, most_trusted: int = MOST_TRUSTED) -> list[float]:
+def fit_ratio(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> list[float]:
     """Log ratio of each bucket's probability in the trusted documents to that in all of ``docs``.
 
-    ``trusted`` has the ids of documents to trust; of more than ``most_trusted`` of them, those with the
-    smallest hashes are taken. The corpus side counts every n-gram of every document. Each task sends one
-    row a bucket to the shuffle. Without trusted documents all ratios are 0."""
-    ids = trusted.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id")).distinct().orderBy(F.xxhash64("__id"), "__id").limit(most_trusted)
-    marked = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(ids.withColumn("__trusted", F.lit(1))), "__id", "left")
+    ``trusted`` has the ids of documents to trust. Both sides count every n-gram of every document. Each
+    task sends one row a bucket to the shuffle. Without trusted documents all ratios are 0."""
+    ids = trusted.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id")).distinct()
+    marked = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(ids.withColumn("__trusted", F.lit(1)), "__id", "left")
     grams = hashed_ngrams(marked, text_col="__text", out="g", buckets=buckets)
     # Outer: else the optimizer infers a filter from the explode and computes the arrays anew inside it, once an element.
     grams = grams.select(F.explode_outer("g").alias("g"), "__trusted").where("g is not null")

@@ -307,6 +307,11 @@ def test_op9(spark, docs):
         assert r["base_failed"] == failed and abs(r["llr"] - llr) < 1e-9 and r["kept"] == (not failed and llr >= rules.THRESHOLD)
 
 
+def test_all_trusted_documents_count(spark):
+    docs = spark.range(20_500).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"))
+    assert set(rules.fit_ratio(docs, docs.select("doc_id"))) == {0.0}  # target and corpus are the same
+
+
 def _grams(text):
     import regex
 
