@@ -34,19 +34,19 @@ def shingle_hashes(text: str | None, shingle: int, seed: int = 42) -> np.ndarray
     return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, stops, strict=True)), np.uint64, n)
 
 
-def fingerprint(hashes: np.ndarray, n_words: int = 1) -> list[int]:
-    """``n_words`` 64-bit words as signed longs; a bit is 1 if it is set in over half of the hashes. Zero without hashes.
-
-    Words after the first come from the hashes remixed."""
-    out = []
+def bit_sums(hashes: np.ndarray, n_words: int = 1) -> np.ndarray:
+    """How many hashes have each of 64 * ``n_words`` bits set. Words after the first come from the hashes remixed."""
+    sums = np.zeros((n_words, 64), np.int64)
     for k in range(n_words):
         h = hashes if k == 0 else _remix(hashes, k)
-        ones = np.zeros(64, np.int64)
         for at in range(0, len(h), _BLOCK):
-            ones += np.unpackbits(h[at : at + _BLOCK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        bits = np.packbits(2 * ones > len(h), bitorder="little") if len(h) else np.zeros(8, np.uint8)
-        out.append(int(bits.view("<i8")[0]))
-    return out
+            sums[k] += np.unpackbits(h[at : at + _BLOCK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return sums.ravel()
+
+
+def fingerprint(hashes: np.ndarray, n_words: int = 1) -> list[int]:
+    """``n_words`` 64-bit words as signed longs; a bit is 1 if it is set in over half of the hashes. Zero without hashes."""
+    return np.packbits(2 * bit_sums(hashes, n_words) > len(hashes), bitorder="little").view("<i8").tolist()
 
 
 def _remix(h: np.ndarray, k: int) -> np.ndarray:
