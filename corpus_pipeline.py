@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import gam, packing, rules, secrets, simhash
+from heddle.llm import gam, near, packing, rules, secrets
 from heddle.llm.common import carried, keep, shared_dir, table
 
 #: The classifier rejects documents that score below this.
@@ -33,7 +33,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest doc_id, of each group of near copies."""
-    return simhash.near_dedup(docs)
+    return near.near_dedup(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
