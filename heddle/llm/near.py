@@ -42,8 +42,8 @@ SLACK = 4.0
 CROWD = 8
 #: Members of a crowded key that one task compares with each other, about.
 BLOCK = 64
-#: Bits of the filter that says which documents' sets are wanted: a bound on what the driver gets and tasks are sent (2 MB).
-FILTER_BITS = 1 << 24
+#: Bits of the filter that says which documents' sets are wanted: a bound on what the driver gets and tasks are sent (half a MB).
+FILTER_BITS = 1 << 22
 
 
 def differing(similarity: float) -> float:
@@ -52,7 +52,7 @@ def differing(similarity: float) -> float:
 
 
 @cache
-def chance(similarity: float, width: int, low: int = LOW, trials: int = 40_000) -> float:
+def chance(similarity: float, width: int, low: int = LOW, trials: int = 20_000) -> float:
     """Probability that two sets of this Jaccard similarity meet in one table.
 
     Sums of ones behave as normal variables that correlate by the sets' cosine; drawn from a fixed seed. The
@@ -187,7 +187,7 @@ def _ordered(x: str, y: str) -> tuple[Column, Column]:
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
-def near_copies(docs: DataFrame, *, id_col: str, text_col: str, shingle: int = SHINGLE, similarity: float = SIMILARITY, n: int | None = None, rounds: int = 3) -> DataFrame:
+def near_copies(docs: DataFrame, *, id_col: str, text_col: str, shingle: int = SHINGLE, similarity: float = SIMILARITY, n: int | None = None) -> DataFrame:
     """(id, component) of ``docs``, which have words and ids: component is the smallest id that links reach.
 
     Equal sets are one node. Candidates are all pairs that meet in a table; no key's members are left out:
@@ -214,31 +214,24 @@ def near_copies(docs: DataFrame, *, id_col: str, text_col: str, shingle: int = S
 
     pairs = cut(_near(met.unionByName(star), nodes, t, most))
     sets = cut(_sets(own, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))), shingle))
-    links, comps = _settled(pairs, sets, similarity, rounds)
+    links, comps = _settled(pairs, sets, similarity)
 
     rest = _crowd_pairs(members, comps, nodes, t, most)
     if not rest.isEmpty():
         more = cut(_sets(own, rest.select(F.col("a").alias("node")).unionByName(rest.select(F.col("b").alias("node"))), shingle))
-        links, comps = _settled(rest, more, similarity, rounds, links, comps)
+        links, comps = _settled(rest, more, similarity, links, comps)
     place = nodes.join(comps, "node", "left").select("sig", F.coalesce("component", "node").alias("component"))
     return printed.select("id", "sig").join(place, "sig").select("id", "component")
 
 
-def _settled(pairs: DataFrame, sets: DataFrame, similarity: float, rounds: int, links: DataFrame | None = None, comps: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Verify candidates until each is verified or joined by others: (links, components)."""
-    for k in range(rounds + 1):
-        if comps is not None:
-            pairs = cut(_apart(pairs, comps))
-        if pairs.isEmpty():
-            break
-        now = pairs if k == rounds else _closest(pairs)
-        good = cut(_alike(now, sets, similarity))
-        pairs = pairs.join(now.select("a", "b"), ["a", "b"], "left_anti")
-        links = good if links is None else cut(links.unionByName(good))
-        comps = connected_components(links)
-    if comps is None:
-        links = pairs.select("a", "b").where("false")
-        comps = connected_components(links)
+def _settled(pairs: DataFrame, sets: DataFrame, similarity: float, links: DataFrame | None = None, comps: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Verify each node's closest candidate, then every other one that these links don't join: (links, components)."""
+    closest = _closest(pairs)
+    for now in (closest, pairs.join(closest, ["a", "b"], "left_anti").select("a", "b")):
+        good = cut(_alike(now if comps is None else _apart(now, comps), sets, similarity))
+        if comps is None or not good.isEmpty():
+            links = good if links is None else links.unionByName(good)
+            comps = connected_components(links)
     return links, comps
 
 
