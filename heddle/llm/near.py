@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from heddle.llm.common import SPACE_CHARS, cut
 from heddle.llm.components import connected_components
-from heddle.llm.simhash import bit_sums, shingle_hashes
+from heddle.llm.simhash import bit_sums, distance, fingerprint, shingle_hashes
 
 SIMILARITY = 0.8
 SHINGLE = 5
@@ -37,11 +37,13 @@ LOW = 4
 #: A segment has so many bits more than the number of documents has, so that chance meetings a document are as many at every size.
 SPARE = 4
 #: A candidate may differ in this many standard deviations more bits than a pair of ``SIMILARITY`` does on average.
-SLACK = 4.0
+SLACK = 3.5
 #: Texts that may share a key before it is crowded: a crowded key's members meet drawn members first.
 CROWD = 8
-#: Members of a crowded key that one task compares with each other, about.
-BLOCK = 64
+#: Members of a crowded key that are compared in one place, about.
+BLOCK = 2048
+#: Words of the complete fingerprint, by which members of a crowded key are compared, and of its part that is looked at first.
+WORDS, FIRST_WORDS = 32, 6
 #: Bits of the filter that says which documents' sets are wanted: a bound on what the driver gets and tasks are sent (half a MB).
 FILTER_BITS = 1 << 22
 
@@ -51,6 +53,12 @@ def differing(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
+def most_differing(bits: int, similarity: float) -> int:
+    """Bits in which a candidate pair may differ."""
+    p = differing(similarity)
+    return math.floor(bits * p + SLACK * math.sqrt(bits * p * (1 - p)))
+
+
 @cache
 def chance(similarity: float, width: int, low: int = LOW, trials: int = 20_000) -> float:
     """Probability that two sets of this Jaccard similarity meet in one table.
@@ -80,9 +88,6 @@ class Tables:
     def bits(self) -> int:
         return self.tables * self.width
 
-    def most_differing(self, similarity: float) -> int:
-        p = differing(similarity)
-        return math.floor(self.bits * p + SLACK * math.sqrt(self.bits * p * (1 - p)))
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
@@ -136,7 +141,9 @@ def probes(nodes: DataFrame, t: Tables) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(node, grams) of the ``wanted`` nodes and of some others, without a shuffle: the wanted nodes' hashes travel as a filter of fixed size."""
+    """(node, grams, print) of the ``wanted`` nodes and of some others: the shingle set and the complete fingerprint.
+
+    Texts aren't shuffled for it: the wanted nodes' hashes travel as a filter of fixed size."""
     at = F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS))
     words = wanted.select(F.shiftright(at, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(pmod(xxhash64(node), {FILTER_BITS}L), 64) as int))").alias("bit"))
     found = words.groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()  # FILTER_BITS / 64 rows at most
@@ -147,10 +154,11 @@ def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
         for b in batches:
             place = b.column(2).to_numpy()
             for i in np.flatnonzero((held[place >> 6] >> (place & 63)) & 1):
-                grams = shingle_set(b.column(1)[int(i)].as_py(), shingle).view(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(int(i), 1), pa.ListArray.from_arrays(pa.array([0, len(grams)], pa.int32()), pa.array(grams))], ["node", "grams"])
+                grams = shingle_set(b.column(1)[int(i)].as_py(), shingle)
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x)) for x in (grams.view(np.int64), np.array(fingerprint(grams, WORDS)))]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(int(i), 1), *lists], ["node", "grams", "print"])
 
-    return docs.select("node", "t", at.alias("at")).mapInArrow(run, "node long, grams array<bigint>")
+    return docs.select("node", "t", at.alias("at")).mapInArrow(run, "node long, grams array<bigint>, print array<bigint>")
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -160,14 +168,10 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where(F.col("o") >= similarity * (F.col("n") - F.col("o")) - 1e-9).select("a", "b").distinct()
 
 
-def _distance(x: Column, y: Column, t: Tables) -> Column:
-    return reduce(lambda p, q: p + q, [F.bit_count(F.get(x, F.lit(k)).bitwiseXOR(F.get(y, F.lit(k)))) for k in range(t.tables)])
-
-
-def _near(pairs: DataFrame, nodes: DataFrame, t: Tables, most: int) -> DataFrame:
-    """(a, b, d) of the distinct pairs whose complete distance is ``most`` or less."""
+def _near(pairs: DataFrame, nodes: DataFrame, t: Tables, similarity: float) -> DataFrame:
+    """(a, b, drawn, d) of the pairs whose segments differ in few enough bits; drawn only if every pair (a, b) is."""
     sa, sb = (nodes.select(F.col("node").alias(x), F.col("segs").alias(f"s{x}")) for x in "ab")
-    return pairs.select("a", "b").distinct().join(sa, "a").join(sb, "b").select("a", "b", _distance(F.col("sa"), F.col("sb"), t).alias("d")).where(F.col("d") <= most)
+    return pairs.groupBy("a", "b").agg(F.min("drawn").alias("drawn")).join(sa, "a").join(sb, "b").select("a", "b", "drawn", distance(F.col("sa"), F.col("sb"), t.tables).alias("d")).where(F.col("d") <= most_differing(t.bits, similarity))
 
 
 def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
@@ -176,10 +180,10 @@ def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*pairs.columns)
 
 
-def _closest(pairs: DataFrame) -> DataFrame:
-    """Each node's closest partner, as pairs."""
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
-    best = both.groupBy("a").agg(F.min(F.struct("d", "b")).alias("m"))
+def _closest(pairs: DataFrame, of: int = 8) -> DataFrame:
+    """Each node's closest partner, and the closest in each of ``of`` parts that the partners are dealt to by hash, as pairs."""
+    both = pairs.select("a", "b", "d").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
+    best = both.groupBy("a", F.pmod(F.xxhash64("b"), F.lit(of))).agg(F.min(F.struct("d", "b")).alias("m"))
     return best.select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")).distinct()
 
 
@@ -192,11 +196,10 @@ def near_copies(docs: DataFrame, *, id_col: str, text_col: str, shingle: int = S
 
     Equal sets are one node. Candidates are all pairs that meet in a table; no key's members are left out:
     where over ``CROWD`` nodes share a key they meet drawn members first, and then, in blocks, all members
-    of other components (of the key's largest component only as partners of these). A candidate
+    of other components (those of the key's largest component only as partners of others). A candidate
     whose texts links have joined is settled; every other one is verified on the whole sets, each node's closest first."""
     own = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("t"))
     t = Tables.of(docs.count() if n is None else n, similarity)
-    most = t.most_differing(similarity)
     printed = cut(prints(own, t, shingle))
     nodes = cut(printed.groupBy("sig").agg(F.min(F.struct("id", "segs", "lows")).alias("m")).select("sig", F.col("m.id").alias("node"), "m.segs", "m.lows"))
 
@@ -212,44 +215,42 @@ def near_copies(docs: DataFrame, *, id_col: str, text_col: str, shingle: int = S
     pivots = members.where("own").groupBy("key").agg(*drawn).select("key", F.explode(F.array_distinct(F.array("p0.node", "p1.node", "p2.node"))).alias("other"))
     star = members.join(pivots, "key").where("node <> other").select(*_ordered("node", "other"))
 
-    pairs = cut(_near(met.unionByName(star), nodes, t, most))
-    sets = cut(_sets(own, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))), shingle))
-    links, comps = _settled(pairs, sets, similarity)
-
-    rest = _crowd_pairs(members, comps, nodes, t, most)
-    if not rest.isEmpty():
-        more = cut(_sets(own, rest.select(F.col("a").alias("node")).unionByName(rest.select(F.col("b").alias("node"))), shingle))
-        links, comps = _settled(rest, more, similarity, links, comps)
+    pairs = cut(_near(met.withColumn("drawn", F.lit(False)).unionByName(star.withColumn("drawn", F.lit(True))), nodes, t, similarity))
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(members.select("node"))
+    sets = cut(_sets(own, wanted, shingle))
+    links, comps = _verified(_closest(pairs), sets, similarity)
+    links, comps = _verified(_closest(_apart(pairs, comps)), sets, similarity, links)
+    rest = cut(_apart(pairs.where("not drawn").select("a", "b", "d"), comps).unionByName(_crowd_pairs(members, comps, sets, similarity)))
+    closest = _closest(rest)
+    links, comps = _verified(closest, sets, similarity, links)
+    links, comps = _verified(_apart(rest.join(closest, ["a", "b"], "left_anti").select("a", "b").distinct(), comps), sets, similarity, links)
     place = nodes.join(comps, "node", "left").select("sig", F.coalesce("component", "node").alias("component"))
     return printed.select("id", "sig").join(place, "sig").select("id", "component")
 
 
-def _settled(pairs: DataFrame, sets: DataFrame, similarity: float, links: DataFrame | None = None, comps: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Verify each node's closest candidate, then every other one that these links don't join: (links, components)."""
-    closest = _closest(pairs)
-    for now in (closest, pairs.join(closest, ["a", "b"], "left_anti").select("a", "b")):
-        good = cut(_alike(now if comps is None else _apart(now, comps), sets, similarity))
-        if comps is None or not good.isEmpty():
-            links = good if links is None else links.unionByName(good)
-            comps = connected_components(links)
-    return links, comps
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float, links: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``links`` and those of the pairs that the whole sets confirm, and the components of all."""
+    good = cut(_alike(pairs, sets, similarity))
+    links = good if links is None else links.unionByName(good)
+    return links, connected_components(links)
 
 
-def _crowd_pairs(members: DataFrame, comps: DataFrame, nodes: DataFrame, t: Tables, most: int) -> DataFrame:
-    """(a, b, d): the candidates of crowded keys whose texts aren't joined yet."""
+def _crowd_pairs(members: DataFrame, comps: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, d): the candidates of crowded keys whose texts aren't joined yet, by their complete fingerprints."""
     placed = members.join(comps, "node", "left").select("key", "node", "own", F.coalesce("component", "node").alias("component"))
     sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
     keys = sizes.groupBy("key").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("n"), F.count(F.lit(1)).alias("components")).where("components > 1")
-    still = placed.join(keys.select("key", F.col("top.component").alias("top"), F.ceil(F.col("n") / BLOCK).alias("blocks")), "key").join(nodes.select("node", "segs"), "node")
+    still = placed.join(keys.select("key", F.col("top.component").alias("top"), F.ceil(F.col("n") / BLOCK).alias("blocks")), "key").join(sets.select("node", "print"), "node")
     still = cut(still)
     x = still.withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
-    x = x.select("key", "block", *(F.col(c).alias(f"x{c}") for c in ("node", "own", "component", "segs")))
+    x = x.select("key", "block", *(F.col(c).alias(f"x{c}") for c in ("node", "own", "component", "print")))
     y = still.where("component <> top").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    y = y.select("key", "block", "top", *(F.col(c).alias(f"y{c}") for c in ("node", "own", "component", "segs")))
+    y = y.select("key", "block", "top", *(F.col(c).alias(f"y{c}") for c in ("node", "own", "component", "print")))
     once = (F.col("xcomponent") == F.col("top")) | (F.col("xnode") < F.col("ynode"))
-    d = _distance(F.col("xsegs"), F.col("ysegs"), t)
-    met = x.join(y, ["key", "block"]).where((F.col("xcomponent") != F.col("ycomponent")) & once & (F.col("xown") | F.col("yown")) & (d <= most))
-    return cut(met.select(*_ordered("xnode", "ynode"), d.alias("d")).distinct())
+    apart = (F.col("xcomponent") != F.col("ycomponent")) & once & (F.col("xown") | F.col("yown"))
+    within = lambda words: distance(F.col("xprint"), F.col("yprint"), words) <= most_differing(64 * words, similarity)
+    met = x.join(y, ["key", "block"]).where(apart & within(FIRST_WORDS) & within(WORDS))
+    return met.select(*_ordered("xnode", "ynode"), distance(F.col("xprint"), F.col("yprint"), WORDS).alias("d")).distinct()
 
 
 def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
