@@ -40,13 +40,15 @@ def duplicates(pages: DataFrame, *, id_col: str = "page_id", payload_col: str =
     """``pages`` with payload_bytes, payload_digest (SHA-1) and refers_to: of records with equal payloads of at
     least ``least`` bytes, all but the one with the largest id refer to that one.
 
-    Only digests are shuffled for it. Null payloads are empty. Null ids refer to others, none refers to them."""
+    Ids and digests alone are shuffled to find them. Null payloads are empty. Rows are told apart by id and digest, so that an
+    id that repeats with another payload keeps both; of large equal rows that share the largest id each is a response.
+    Null ids refer to others, none refers to them."""
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     sized = pages.withColumns({"payload_bytes": F.octet_length(payload).cast("long"), "payload_digest": F.sha1(payload)})
-    large = sized.where(F.col("payload_bytes") >= least)
-    heads = large.groupBy(F.col("payload_digest").alias("__d")).agg(F.max(id_col).alias("__head"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
-    others = large.select(F.col(id_col).alias("__id"), F.col("payload_digest").alias("__d")).join(heads, "__d").where("__id <> __head").groupBy("__id").agg(F.max("__head").alias("refers_to"))
-    return sized.join(others, F.col(id_col) == F.col("__id"), "left").drop("__id")
+    large = sized.where(F.col("payload_bytes") >= least).select(F.col(id_col).alias("__id"), F.col("payload_digest").alias("__d"))
+    heads = large.groupBy("__d").agg(F.max("__id").alias("refers_to"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
+    others = large.join(heads, "__d").where("__id is null or __id <> refers_to").groupBy("__id", "__d").agg(F.max("refers_to").alias("refers_to"))
+    return sized.join(others, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("payload_digest") == F.col("__d")), "left").drop("__id", "__d")
 
 
 def record(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
