@@ -33,6 +33,7 @@ PAIRS = 6
 RATE = 0.15
 
 _ODD = re.compile(r"[#*$%&|<>]")
+_OTHER = re.compile(r"[\W\d_]+")
 _MARKED = re.compile(r"[^\w\s]{2,}(?=\s|$)")
 
 
@@ -47,7 +48,7 @@ def text_features(text: str | None) -> list[float]:
     kinds = Counter(ws)
     pairs = set(zip(ws, ws[1:]))
     squeezed = sum(map(len, ws))
-    letters = sum(map(str.isalpha, text)) if n < 256 else len(re.sub(r"[\W\d_]+", "", text))
+    letters = len(_OTHER.sub("", text))
     digits = len(re.findall(r"\d", text))
     capitals = len(re.findall(r"[A-ZÀ-ÖØ-Þ]", text))
     return [
