@@ -13,6 +13,7 @@ other nothing is deleted for being shared.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -36,11 +37,48 @@ SITE_NAMES = frozenset(
 )
 SITE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|template)\b.*?(?:</\1[^>]*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S | re.I)
+_OPEN = re.compile(r"<(?:(!--)|[!?]|(/?)([a-zA-Z][^\s/><]*))")
+_STOP = re.compile(r"""[>"']""")
+_RAW = {name: re.compile(f"</{name}", re.I) for name in ("script", "style", "template")}
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _INSIDE, _SITE, _OUTSIDE = 1, 2, 0
-#: Pages that share more than this part of the text outside articles are copies, not neighbours.
-COPY = 0.9
+
+
+def tags(html: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, whether it ends an element, attributes) of the markup; comments, scripts and the like have no name.
+
+    Time is linear in the page's length, whatever it holds: a quoted value may contain ``>``, but after a tag whose
+    quotes don't close, the rest of the page's tags end at their first ``>``."""
+    at, last, quotes = 0, html.rfind(">"), True
+    while (m := _OPEN.search(html, at)) and (m.start() < last or m[1]):
+        name, start, inside = (m[3] or "").lower(), m.start(), m.end()
+        if m[1]:
+            end = html.find("-->", inside)
+            at = len(html) if end < 0 else end + 3
+            inside = at
+        elif name in _RAW and not m[2]:
+            end = _RAW[name].search(html, inside)
+            close = html.find(">", end.end()) if end else -1
+            at = len(html) if close < 0 else close + 1
+            name = ""
+        else:
+            end = _end(html, inside) if quotes and name else html.find(">", inside)
+            if end < 0:
+                quotes, end = False, html.find(">", inside)
+            at = end + 1
+        yield start, at, name, m[2] == "/", html[inside : at - 1] if name else ""
+
+
+def _end(html: str, at: int) -> int:
+    """Where the tag's ``>`` is, outside quotes; -1 without one."""
+    while m := _STOP.search(html, at):
+        if m[0] == ">":
+            return m.start()
+        close = html.find(m[0], m.end())
+        if close < 0:
+            return -1
+        at = close + 1
+    return -1
 
 
 def lines(html: str | None) -> list[tuple[int, str]]:
@@ -50,6 +88,7 @@ def lines(html: str | None) -> list[tuple[int, str]]:
     Character references are decoded after markup is gone; white space becomes one space."""
     out: list[tuple[int, str]] = []
     stack: list[tuple[str, int]] = []
+    opened: Counter[str] = Counter()
     pending: list[str] = []
     at, html = 0, html or ""
 
@@ -59,32 +98,38 @@ def lines(html: str | None) -> list[tuple[int, str]]:
         if text:
             out.append((stack[-1][1] if stack else _OUTSIDE, text))
 
-    for m in _TOKEN.finditer(html):
-        if m.start() > at:
-            pending.append(html[at : m.start()])
-        at = m.end()
-        tag = (m[3] or "").lower()
+    def close() -> str:
+        tag = stack.pop()[0]
+        opened[tag] -= 1
+        return tag
+
+    for start, stop, tag, end, attributes in tags(html):
+        if start > at:
+            pending.append(html[at:start])
+        at = stop
         if not tag:
             continue
-        block, end = tag in BLOCKS, m[2] == "/"
-        marked = _region(tag, m[4]) if not end else None
+        block = tag in BLOCKS
+        marked = _region(tag, attributes) if not end else None
         if block or marked:
             flush()
         if end:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if k is not None:
+            if opened[tag]:
                 flush()
-                del stack[k:]
+                while close() != tag:
+                    pass
         elif tag not in VOID and (block or marked):
             if block and stack and stack[-1][0] == "p":
-                stack.pop()
+                close()
             above = stack[-1][1] if stack else _OUTSIDE
             region = _SITE if above == _SITE else marked if marked is not None else above
             if tag == "header":  # an article's own heading is part of it
                 region = above if above == _INSIDE and marked != _SITE else _SITE
             stack.append((tag, region))
+            opened[tag] += 1
     rest = html[at:]
-    pending.append(rest[: rest.find("<")] if re.search(r"<[a-zA-Z/!?]", rest) else rest)  # not a tag that the page's end cuts off
+    cut = re.search(r"<[a-zA-Z/!?]", rest)
+    pending.append(rest[: cut.start()] if cut else rest)  # not a tag that the page's end cuts off
     flush()
     return out
 
@@ -144,18 +189,21 @@ def common(a: list, b: list) -> list[bool]:
     return mark
 
 
-def main_text(page: list[tuple[int, str]], neighbour: list[tuple[int, str]] | None) -> str:
-    """The page's own lines, given its nearest page's lines (None: it has none)."""
+def main_text(page: list[tuple[int, str]], neighbour: list[tuple[int, str]] | None) -> tuple[str, int]:
+    """(the page's own lines, how many lines were deleted for being shared), given its nearest page's lines (None: it has none).
+
+    Lines of an article stay and lines of the site go. Other lines stay on a page without an article if the
+    neighbour doesn't share them; where it shares all of them the pages are copies and they stay too."""
     shared = common(page, neighbour) if neighbour else [False] * len(page)
     has_article = any(r == _INSIDE for r, _ in page)
-    loose = [(t, s) for (r, t), s in zip(page, shared, strict=True) if r == _OUTSIDE]
-    copies = sum(len(t) for t, s in loose if s) > COPY * sum(len(t) for t, _ in loose)
-    keep = lambda r, s: r == _INSIDE or r == _OUTSIDE and not has_article and (copies or not s)
-    return "\n".join(t for (r, t), s in zip(page, shared, strict=True) if keep(r, s))
+    copies = all(s for (r, _), s in zip(page, shared, strict=True) if r == _OUTSIDE)
+    own = [r == _INSIDE or r == _OUTSIDE and not has_article and (copies or not s) for (r, _), s in zip(page, shared, strict=True)]
+    deleted = 0 if has_article else sum(r == _OUTSIDE and not k for (r, _), k in zip(page, own, strict=True))
+    return "\n".join(t for (_, t), k in zip(page, own, strict=True) if k), deleted
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(id, url, text) of every page. Null html is empty, null URLs share one host that has no name.
+    """(id, url, text, n_shared: lines deleted for being shared) of every page. Null html is empty, null URLs share one host that has no name.
 
     Pages are dealt by ranges of host, path and id, so that a host of any size is spread over tasks, and
     each range comes with its neighbours' edge pages. Rows that agree in id and URL are told apart by
@@ -176,7 +224,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
 
         def done(x, left, right):
             pairs = [(near(x[2], y[2]), k, y) for k, y in ((1, left), (0, right)) if y and y[:2] == x[:2]]
-            return x[4], x[5], main_text(x[6], max(pairs, key=lambda p: p[:2])[2][6] if pairs else None)
+            return x[4], x[5], *main_text(x[6], max(pairs, key=lambda p: p[:2])[2][6] if pairs else None)
 
         for b in batches:
             out = []
@@ -192,14 +240,14 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     from pyspark.sql.pandas.types import to_arrow_type
 
     kinds_of = [to_arrow_type(pages.schema[id_col].dataType)]
-    return dealt.select("part", "host", "path", "halo", "id", "url", "html").mapInArrow(run, f"id {kind}, url string, text string")
+    return dealt.select("part", "host", "path", "halo", "id", "url", "html").mapInArrow(run, f"id {kind}, url string, text string, n_shared long")
 
 
 def _batch(out: list[tuple], kind) -> pa.RecordBatch:
-    cols = list(zip(*out, strict=True)) or [(), (), ()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (kind, pa.string(), pa.string()), strict=True)], ["id", "url", "text"])
+    cols = list(zip(*out, strict=True)) or [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (kind, pa.string(), pa.string(), pa.int64()), strict=True)], ["id", "url", "text", "n_shared"])
 
 
 def op6_html_extraction(pages: DataFrame) -> DataFrame:
-    """The contract's columns: page_id, url, text, n_chars."""
-    return extract(pages).select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+    """The contract's columns: page_id, url, text, n_chars; and n_shared."""
+    return extract(pages).select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"), "n_shared")
