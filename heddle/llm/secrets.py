@@ -6,7 +6,10 @@ expression, so that documents are scanned, judged and redacted in a single pass
 
 from __future__ import annotations
 
-from functools import reduce
+import json
+from functools import cache, reduce
+from itertools import islice
+from pathlib import Path
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -19,14 +22,16 @@ CANDIDATE = "|".join([
     r"\b(?:gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk_live_|rk_live_|sk-|AIza|npm_|hf_|eyJ)[A-Za-z0-9_\-.]{16,}",
     r"(?<=[:= \"'])(?<=(?i:pass|pwd|password|passwd|secret|token|key|auth|credential)[\"']{0,1}[ ]{0,2}[:=][ ]{0,2}[\"']{0,1})[^\s\"'<>]{8,}",
     r"(?<![A-Za-z0-9+/=_\-.:])(?=[A-Za-z0-9]*[+/=])(?=[a-z0-9+/]*[A-Z])(?=[A-Z0-9+/]*[a-z])(?=[A-Za-z/]*[0-9+])[A-Za-z0-9+/]{24,}={0,2}(?![A-Za-z0-9_\-])",
+    r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s\\]{16,}-----END [A-Z ]{0,30}PRIVATE KEY-----",
+    r"(?<=:)(?<=://[A-Za-z0-9._~%+\-]{0,64}:)[^\s:@/\"'<>]{6,}(?=@[A-Za-z0-9])",
     r"\b(?=[A-Za-z_\-]{0,200}[0-9])[A-Za-z0-9_\-]{24,}\b",
 ])
-PREFIX = r"^(?:AKIA|ASIA|ABIA|ACCA|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk_live_|rk_live_|AIza|npm_|hf_)"
+PREFIX = r"^(?:AKIA|ASIA|ABIA|ACCA|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk_live_|rk_live_|AIza|npm_|hf_|-----BEGIN )"
 #: Words that name a secret, that belong to other long strings, and that show up in placeholders.
 NAMING = r"(?i)(?:pass|pwd|secret|token|api|auth|credential|key|login|bearer)"
 OTHER = r"(?i)\b(?:commit|sha[0-9]{0,3}|md5|checksum|hash|digest|uuid|guid|revision|etag|integrity|version|order|invoice|phone|card)\b"
 MOCK_PATH = r"(?i)(?:test|example|sample|fixture|mock|docs?/|readme)"
-DICTIONARY = (
+PLACEHOLDERS = (
     "account", "admin", "change", "client", "code", "config", "data", "default", "demo", "dummy", "enter", "example", "fake", "file", "foo", "get", "here",
     "insert", "item", "list", "load", "local", "manager", "mode", "module", "name", "number", "object", "password", "path", "placeholder", "replace", "sample", "secret", "server", "service",
     "set", "string", "temp", "test", "text", "time", "token", "type", "update", "user", "value", "view", "welcome", "xxx", "your", "1234",
@@ -40,11 +45,40 @@ FEATURES = ("length", "transitions", "digits", "capitals", "distinct", "hex", "c
 REDACTED = "[SECRET]"
 _MARK, _END = "\x01\x03", "\x01\x02"
 
+#: Words of the dictionary: the first so many of a public vocabulary, which is ordered by use.
+MOST_WORDS, LEAST_LETTERS = 3_000, 4
 LABELLED = 6_000
 TREES, DEPTH, SEED, THRESHOLD = 16, 6, 7, 0.5
 
 
-def candidate_features(value: Column, left: Column, right: Column, path: Column) -> dict[str, Column]:
+@cache
+def dictionary(path: str | None = None, most: int = MOST_WORDS) -> str:
+    """A pattern of common words, each branch taken letter by letter: whole words of a public tokenizer's vocabulary, and the placeholders.
+
+    ``path`` is the vocabulary's file (the driver reads it)."""
+    if path is None:
+        import public_tokenizers
+
+        path = str(public_tokenizers.path("word_bpe_49k.json"))
+    vocabulary = json.loads(Path(path).read_text())["model"]["vocab"]
+    whole = (w.removesuffix("</w>") for w in sorted(vocabulary, key=vocabulary.get) if w.endswith("</w>"))
+    words = list(islice((w for w in whole if len(w) >= LEAST_LETTERS and w.isascii() and w.isalpha()), most))
+    tree: dict = {}
+    for w in {*words, *PLACEHOLDERS}:
+        at = tree
+        for c in w:
+            at = at.setdefault(c, {})
+        at[""] = {}
+
+    def pattern(at: dict) -> str:
+        branches = [c + pattern(below) for c, below in sorted(at.items()) if c]
+        body = branches[0] if len(branches) == 1 else f"(?:{'|'.join(branches)})" if branches else ""
+        return f"(?:{body})?" if "" in at and body else body
+
+    return pattern(tree)
+
+
+def candidate_features(value: Column, left: Column, right: Column, path: Column, words: str | None = None) -> dict[str, Column]:
     n = F.greatest(F.length(value), F.lit(1))
     share = lambda pattern: F.length(F.regexp_replace(value, pattern, "")) / n  # noqa: E731  of what stays
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[^A-Za-z0-9]", "-"), "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "0")
@@ -58,7 +92,7 @@ def candidate_features(value: Column, left: Column, right: Column, path: Column)
         "capitals": share("[^A-Z]"),
         "distinct": F.size(F.array_distinct(F.split(value, ""))) / n,
         "hex": flag(value.rlike("^[0-9a-f]+$")),
-        "covered": 1 - F.length(F.regexp_replace(F.lower(value), "|".join(DICTIONARY), "")) / n,
+        "covered": 1 - F.length(F.regexp_replace(F.lower(value), words or dictionary(), "")) / n,
         "vowels": F.length(F.regexp_replace(value, "[^AEIOUaeiou]", "")) / letters,
         "prefix": flag(value.rlike(PREFIX)),
         "naming": flag(left.rlike(NAMING)),
@@ -69,14 +103,14 @@ def candidate_features(value: Column, left: Column, right: Column, path: Column)
 
 
 def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
-    """Made findings (value, left, right, path, label): a rule for each kind of secret and of look-alike.
+    """Made findings (value, left, right, path, label, kind): a rule for each kind of secret and of look-alike.
 
     A team's own triaged findings have the same columns and may be used instead or beside."""
     word = lambda salt: F.element_at(F.lit(["the", "request", "from", "server", "will", "return", "each", "value", "section", "page", "after", "with"]), (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(12)) + 1).cast("int"))
     hexes = F.concat(F.sha2(F.concat(F.lit("a"), F.col("id").cast("string")), 256), F.sha2(F.concat(F.lit("b"), F.col("id").cast("string")), 256))
     mixed = F.regexp_replace(F.base64(F.unhex(hexes)), "[+/=]", "")
     pick = lambda k, salt=0: F.pmod(F.xxhash64("id", F.lit(100 + salt)), F.lit(k))
-    dict_word = lambda salt: F.element_at(F.lit(list(DICTIONARY)), (pick(len(DICTIONARY), salt) + 1).cast("int"))
+    dict_word = lambda salt: F.element_at(F.lit(list(PLACEHOLDERS)), (pick(len(PLACEHOLDERS), salt) + 1).cast("int"))
     long_word = lambda salt: F.element_at(F.lit(list(LONG_WORDS)), (pick(len(LONG_WORDS), salt) + 1).cast("int"))
     prose = F.concat_ws(" ", word(1), word(2), word(3))
     uuid = F.regexp_replace(hexes, "^(.{8})(.{4})(.{4})(.{4})(.{12}).*", "$1-$2-$3-$4-$5")
@@ -102,12 +136,15 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
         (F.concat(F.translate(dict_word(16), "aeos", "4305"), dict_word(17), (F.col("id") % 100).cast("string")), F.concat(prose, F.element_at(F.lit([" password=", " PASSWORD: ", ' "password": "']), (pick(3, 18) + 1).cast("int"))), code, 1),
         (F.expr("substring(b, 1, cast(40 + 4 * pmod(id, 10) as int))"), F.concat(prose, F.element_at(F.lit([" Bearer ", " AccountKey ", " login "]), (pick(3, 9) + 1).cast("int"))), code, 1),
         (F.concat(long_word(11), F.element_at(F.lit(["", ",", ".", "-based"]), (pick(4, 12) + 1).cast("int"))), F.concat(prose, F.element_at(F.lit([" Key: ", " Token: ", " Pass: "]), (pick(3, 13) + 1).cast("int"))), code, 0),
+        (F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), F.col("b"), F.lit("\n-----END RSA PRIVATE KEY-----")), prose, code, 1),
+        (F.expr("substring(m, 1, cast(8 + pmod(id, 16) as int))"), F.concat(prose, F.lit(" postgres://admin:")), code, 1),
+        (F.element_at(F.lit(["password", "changeme", "username", "example", "secret"]), (pick(5, 19) + 1).cast("int")), F.concat(prose, F.lit(" mysql://user:")), code, 0),
         (F.concat_ws("/", dict_word(1), F.initcap(dict_word(2)), F.concat(F.initcap(dict_word(3)), (F.col("id") % 10).cast("string")), dict_word(4), long_word(14)), F.concat(prose, F.lit(" ")), code, 0),
     ]
     made = spark.range(0, n, 1, 4).select("id", hexes.alias("h"), mixed.alias("m"), F.base64(F.unhex(hexes)).alias("b"), F.translate(hexes, "0123456789", "ghjkmnprst").alias("l"), F.translate(hexes, "abcdef", "274953").alias("d"))
     at = F.pmod(F.col("id"), F.lit(len(shapes)))
     case = lambda k: reduce(lambda acc, i: acc.when(at == i, shapes[i][k] if k < 3 else F.lit(shapes[i][k])), range(1, len(shapes)), F.when(at == 0, shapes[0][k] if k < 3 else F.lit(shapes[0][k])))
-    return made.select(case(0).alias("value"), case(1).alias("left"), prose.alias("right"), case(2).alias("path"), case(3).alias("label"))
+    return made.select(case(0).alias("value"), case(1).alias("left"), prose.alias("right"), case(2).alias("path"), case(3).alias("label"), at.alias("kind"))
 
 
 def fit_forest(findings: DataFrame, *, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> RandomForestClassificationModel:
