@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 from collections.abc import Iterable, Sequence
 from functools import reduce
@@ -23,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where it is unset (tests, a laptop) a local folder is made and set."""
+    Where it is unset and Spark runs in this process only (tests, a laptop) a local folder is made and set; a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="heddle-checkpoint-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
@@ -70,10 +73,11 @@ def double_array(values: Iterable[float]) -> Column:
 def ordered_parts(df: DataFrame, keys: Sequence[str], payload: Sequence[str], before: int = 0, after: int = 1, per_partition: int = 4) -> tuple[DataFrame, str]:
     """Deal rows into parts by ranges of ``keys`` and sort them, each part with its neighbours' edge rows.
 
-    ``keys`` tell rows apart (equal rows may share them). Split keys come from a sample whose size follows the number of
-    shuffle partitions, never the input. Returned rows have ``part`` and ``halo`` (-1: the last row
-    of the part before, 1: the first row of the part after, 0: the part's own), so that a pass over a
-    part sees every row beside its true neighbours. One shuffle; any part may be streamed.
+    ``keys`` tell rows apart; rows that agree in all of them are copies of each other and stay in one part. Split keys come
+    from a sample of distinct keys, whose size follows the number of shuffle partitions, never the input. Returned rows have
+    ``part`` and ``halo`` (-1: the last row of the part before, 1: the first row of the part after, 0: the part's own), so
+    that a pass over a part sees every row beside its true neighbours. One shuffle, with as many parts in each task; any
+    part may be streamed.
     """
     spark = df.sparkSession
     n = shuffle_partitions(spark) * per_partition
@@ -82,7 +86,7 @@ def ordered_parts(df: DataFrame, keys: Sequence[str], payload: Sequence[str], be
     order = F.struct(*keys)
     rate = min(1.0, 16.0 * n / max(total, 1))
     hashed = F.pmod(F.xxhash64(*keys), F.lit(1_000_003)) < int(rate * 1_000_003) + 1
-    sample = [r[0] for r in light.where(hashed).select(order.alias("k")).orderBy("k").collect()]
+    sample = [r[0] for r in light.where(hashed).select(order.alias("k")).distinct().orderBy("k").collect()]  # a key once, however often it repeats
     splits = list(dict.fromkeys(sample[i * len(sample) // n] for i in range(1, n))) if sample else []  # in Spark's order
     kind = T.StructType([T.StructField(k, df.schema[k].dataType) for k in keys])
     bounds = F.from_json(F.lit(json.dumps([dict(zip(keys, s, strict=True)) for s in splits])), T.ArrayType(kind))  # one constant
@@ -101,7 +105,8 @@ def ordered_parts(df: DataFrame, keys: Sequence[str], payload: Sequence[str], be
     own = F.array(F.struct(F.col("__p").alias("part"), F.lit(0).alias("halo")))
     met = base.withColumn("__p", part).alias("a").join(F.broadcast(halo).alias("h"), same, "left")  # two rows a part at most
     dealt = met.select("a.*", F.explode_outer(F.concat(own, F.coalesce("h.to", F.array().cast(to)))).alias("__t")).select("*", "__t.part", "__t.halo").drop("__p", "__t")
-    return dealt.repartition(shuffle_partitions(spark), "part").sortWithinPartitions("part", *keys), "part"
+    tasks = shuffle_partitions(spark)
+    return dealt.repartitionById(tasks, F.pmod("part", F.lit(tasks))).sortWithinPartitions("part", *keys), "part"
 
 
 def _bisect(array: Column, keys: Sequence[str], n: int) -> Column:
