@@ -37,7 +37,7 @@ LOW = 4
 #: A segment has so many bits more than the number of documents has, so that chance meetings a document are as many at every size.
 SPARE = 4
 #: A candidate may differ in this many standard deviations more bits than a pair of ``SIMILARITY`` does on average.
-SLACK = 3.5
+SLACK = 3.0
 #: Texts that may share a key before it is crowded: a crowded key's members meet drawn members first.
 CROWD = 8
 #: Members of a crowded key that are compared in one place, about.
@@ -169,9 +169,16 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def _near(pairs: DataFrame, nodes: DataFrame, t: Tables, similarity: float) -> DataFrame:
-    """(a, b, drawn, d) of the pairs whose segments differ in few enough bits; drawn only if every pair (a, b) is."""
+    """(a, b, d) of the distinct pairs whose segments differ in few enough bits."""
     sa, sb = (nodes.select(F.col("node").alias(x), F.col("segs").alias(f"s{x}")) for x in "ab")
-    return pairs.groupBy("a", "b").agg(F.min("drawn").alias("drawn")).join(sa, "a").join(sb, "b").select("a", "b", "drawn", distance(F.col("sa"), F.col("sb"), t.tables).alias("d")).where(F.col("d") <= most_differing(t.bits, similarity))
+    return pairs.distinct().join(sa, "a").join(sb, "b").select("a", "b", distance(F.col("sa"), F.col("sb"), t.tables).alias("d")).where(F.col("d") <= most_differing(t.bits, similarity))
+
+
+def _closer(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, d) of the pairs whose complete fingerprints differ in few enough bits."""
+    one, other = (sets.select(F.col("node").alias(x), F.col("print").alias(f"p{x}")) for x in "ab")
+    met = pairs.select("a", "b").join(one, "a").join(other, "b").select("a", "b", distance(F.col("pa"), F.col("pb"), WORDS).alias("d"))
+    return met.where(F.col("d") <= most_differing(64 * WORDS, similarity)).distinct()
 
 
 def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
@@ -211,16 +218,16 @@ def near_copies(docs: DataFrame, *, id_col: str, text_col: str, shingle: int = S
 
     members = asked.join(crowded, "key").join(at.join(crowded, "key").withColumn("own", F.lit(True)), ["key", "node"], "left")
     members = cut(members.select("key", "node", F.coalesce("own", F.lit(False)).alias("own")))
-    drawn = [F.min(F.struct(F.xxhash64("node", F.lit(j)).alias("h"), "node")).alias(f"p{j}") for j in range(3)]
-    pivots = members.where("own").groupBy("key").agg(*drawn).select("key", F.explode(F.array_distinct(F.array("p0.node", "p1.node", "p2.node"))).alias("other"))
+    pivots = members.where("own").groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node")).alias("p")).select("key", F.col("p.node").alias("other"))
     star = members.join(pivots, "key").where("node <> other").select(*_ordered("node", "other"))
 
-    pairs = cut(_near(met.withColumn("drawn", F.lit(False)).unionByName(star.withColumn("drawn", F.lit(True))), nodes, t, similarity))
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(members.select("node"))
-    sets = cut(_sets(own, wanted, shingle))
-    links, comps = _verified(_closest(pairs), sets, similarity)
-    links, comps = _verified(_closest(_apart(pairs, comps)), sets, similarity, links)
-    rest = cut(_apart(pairs.where("not drawn").select("a", "b", "d"), comps).unionByName(_crowd_pairs(members, comps, sets, similarity)))
+    pairs = cut(_near(met, nodes, t, similarity))
+    drawn = cut(_closest(_near(star, nodes, t, similarity)))
+    both = pairs.select("a", "b").unionByName(drawn)
+    sets = cut(_sets(own, both.select(F.col("a").alias("node")).unionByName(both.select(F.col("b").alias("node"))).unionByName(members.select("node")), shingle))
+    pairs = cut(_closer(pairs, sets, similarity))
+    links, comps = _verified(_closest(pairs).unionByName(drawn).distinct(), sets, similarity)
+    rest = cut(_apart(pairs, comps).unionByName(_crowd_pairs(members, comps, sets, similarity)))
     closest = _closest(rest)
     links, comps = _verified(closest, sets, similarity, links)
     links, comps = _verified(_apart(rest.join(closest, ["a", "b"], "left_anti").select("a", "b").distinct(), comps), sets, similarity, links)
