@@ -19,6 +19,8 @@ SYMBOLS = "#*$%&|<>"
 BUCKETS = 1 << 13
 #: Added to each bucket's count, as a share of an even spread.
 SMOOTHING = 1.0
+#: Trusted ids that are sent to every task, at most (8 MB); more are joined by a shuffle, with the same counts.
+MOST_SENT = 1_000_000
 #: Documents whose mean log-likelihood ratio an n-gram is below this are rejected.
 THRESHOLD = -0.35
 
@@ -77,8 +79,10 @@ def fit_ratio(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", te
 
     ``trusted`` has the ids of documents to trust. Both sides count every n-gram of every document. Each
     task sends one row a bucket to the shuffle. Without trusted documents all ratios are 0."""
-    ids = trusted.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id")).distinct()
-    marked = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(ids.withColumn("__trusted", F.lit(1)), "__id", "left")
+    ids = trusted.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id")).distinct().withColumn("__trusted", F.lit(1))
+    if ids.limit(MOST_SENT + 1).count() <= MOST_SENT:
+        ids = F.broadcast(ids)
+    marked = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(ids, "__id", "left")
     grams = hashed_ngrams(marked, text_col="__text", out="g", buckets=buckets)
     # Outer: else the optimizer infers a filter from the explode and computes the arrays anew inside it, once an element.
     grams = grams.select(F.explode_outer("g").alias("g"), "__trusted").where("g is not null")
