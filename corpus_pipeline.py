@@ -56,7 +56,7 @@ STAGES = [
     ("best-fit packing", best_fit_packing),
 ]
 
-#: Hashes, a fitted model and a tokenizer can't be said in SQL; tests hold the stages against brute force.
+#: Hashes, a fitted model and a tokenizer can't be said in SQL; tests/llm holds the stages' operators against plain versions.
 ORACLE_SQL = None
 
 
