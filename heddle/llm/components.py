@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from heddle.llm.common import cut
 
+#: Links that one task takes, at least: a table that shrinks each round is dealt to fewer tasks each round.
+ROWS = 1 << 15
+
 
 def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``links`` (a, b; longs): component is its smallest reachable node.
@@ -19,12 +22,15 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     edges = links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     edges = cut(edges)
     comp = None
+    most = None
     for _ in range(most_rounds):
-        if edges.isEmpty():
+        tasks = -(-edges.count() // ROWS)
+        if not tasks:
             break
+        most, edges = most or tasks, edges.coalesce(tasks)
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("up"))
-        up = cut(_jump(_jump(up)))
+        up = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("up")).coalesce(tasks)
+        up = cut(_jump(_jump(up).coalesce(tasks)).coalesce(tasks))
         if comp is None:
             comp = up.select("node", F.col("up").alias("component"))
         else:
@@ -32,7 +38,7 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
             comp = comp.join(step, "component", "left").select("node", F.coalesce("up", "component").alias("component"))
         edges = _mapped(_mapped(edges, up, "a"), up, "b").where("a <> b")
         edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        edges, comp = cut(edges), cut(comp)
+        edges, comp = cut(edges.coalesce(tasks)), cut(comp.coalesce(most))
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     if comp is None:
@@ -40,6 +46,18 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     return comp
 
 
+def with_links(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """``comps`` (node, component) after further links (a, b), whose ends it need not have yet: only components are linked anew."""
+    of = lambda x: comps.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    placed = cut(links.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")))
+    if placed.isEmpty():
+        return comps
+    ends = placed.select(F.col("a").alias("node")).unionByName(placed.select(F.col("b").alias("node"))).distinct()
+    every = comps.unionByName(ends.join(comps, "node", "left_anti").select("node", F.col("node").alias("component")))
+    step = connected_components(placed.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("up"))
+    return cut(every.join(step, "component", "left").select("node", F.coalesce("up", "component").alias("component")))
+
+
 def _jump(up: DataFrame) -> DataFrame:
     over = up.select(F.col("node").alias("up"), F.col("up").alias("over"))
     return up.join(over, "up", "left").select("node", F.coalesce("over", "up").alias("up"))

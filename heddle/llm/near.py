@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heddle.llm.common import SPACE_CHARS, cut
-from heddle.llm.components import connected_components
+from heddle.llm.components import connected_components, with_links
 from heddle.llm.simhash import bit_sums, distance, fingerprint, shingle_hashes
 
 SIMILARITY = 0.8
@@ -44,8 +44,8 @@ CROWD = 8
 BLOCK = 2048
 #: Words of the complete fingerprint, by which members of a crowded key are compared, and of its part that is looked at first.
 WORDS, FIRST_WORDS = 32, 6
-#: Bits of the filter that says which documents' sets are wanted: a bound on what the driver gets and tasks are sent (half a MB).
-FILTER_BITS = 1 << 22
+#: Bits of a filter that says which documents' sets or which keys are wanted: a bound on what the driver gets and tasks are sent (half a MB).
+FILTER_BITS = 4_194_301
 
 
 def differing(similarity: float) -> float:
@@ -125,8 +125,17 @@ def prints(docs: DataFrame, t: Tables, shingle: int) -> DataFrame:
     return docs.select("node", "t").mapInArrow(run, "id long, sig binary, segs array<bigint>, lows array<tinyint>")
 
 
-def probes(nodes: DataFrame, t: Tables) -> DataFrame:
-    """(key, node): every point of each node's balls."""
+def _filter(places: DataFrame) -> np.ndarray:
+    """Bits of the ``places`` (at: from 0 to FILTER_BITS - 1), in words of 64."""
+    words = places.select(F.shiftright("at", 6).alias("w"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("bit"))
+    found = words.groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()  # FILTER_BITS / 64 rows at most
+    held = np.zeros(FILTER_BITS // 64 + 1, np.int64)
+    held[found.column("w").to_numpy()] = found.column("bits").to_numpy()
+    return held
+
+
+def probes(nodes: DataFrame, t: Tables, only: np.ndarray | None = None) -> DataFrame:
+    """(key, node): every point of each node's balls; with ``only``, a filter of keys, those that it lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -135,7 +144,12 @@ def probes(nodes: DataFrame, t: Tables) -> DataFrame:
                 values = part.column(1).flatten().to_numpy().reshape(-1, t.tables)
                 lows = part.column(2).flatten().to_numpy().reshape(-1, t.tables, t.low)
                 keys = ball(values, lows, t).reshape(part.num_rows, -1)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), keys.shape[1]))], ["key", "node"])
+                keys, owners = keys.ravel(), np.repeat(part.column(0).to_numpy(), keys.shape[1])
+                if only is not None:
+                    place = keys % FILTER_BITS
+                    through = np.flatnonzero((only[place >> 6] >> (place & 63)) & 1)
+                    keys, owners = keys[through], owners[through]
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(owners)], ["key", "node"])
 
     return nodes.select("node", "segs", "lows").mapInArrow(run, "key long, node long")
 
@@ -145,10 +159,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
 
     Texts aren't shuffled for it: the wanted nodes' hashes travel as a filter of fixed size."""
     at = F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS))
-    words = wanted.select(F.shiftright(at, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(pmod(xxhash64(node), {FILTER_BITS}L), 64) as int))").alias("bit"))
-    found = words.groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()  # FILTER_BITS / 64 rows at most
-    held = np.zeros(FILTER_BITS // 64, np.int64)
-    held[found.column("w").to_numpy()] = found.column("bits").to_numpy()
+    held = _filter(wanted.select(at.alias("at")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -216,6 +227,7 @@ def near_copies(docs: DataFrame, *, id_col: str, text_col: str, shingle: int = S
     few = at.join(crowded, "key", "left_anti").select("key", F.col("node").alias("other"))
     met = asked.join(few, "key").where("node <> other").select(*_ordered("node", "other"))
 
+    asked = probes(nodes, t, _filter(crowded.select((F.col("key") % FILTER_BITS).alias("at"))))  # not all probes: few of them meet a crowded key
     members = asked.join(crowded, "key").join(at.join(crowded, "key").withColumn("own", F.lit(True)), ["key", "node"], "left")
     members = cut(members.select("key", "node", F.coalesce("own", F.lit(False)).alias("own")))
     pivots = members.where("own").groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node")).alias("p")).select("key", F.col("p.node").alias("other"))
@@ -226,22 +238,16 @@ def near_copies(docs: DataFrame, *, id_col: str, text_col: str, shingle: int = S
     both = pairs.select("a", "b").unionByName(drawn)
     sets = cut(_sets(own, both.select(F.col("a").alias("node")).unionByName(both.select(F.col("b").alias("node"))).unionByName(members.select("node")), shingle))
     pairs = cut(_closer(pairs, sets, similarity))
-    links, comps = _verified(_closest(pairs).unionByName(drawn).distinct(), sets, similarity)
+    comps = connected_components(cut(_alike(_closest(pairs).unionByName(drawn).distinct(), sets, similarity)))
     rest = cut(_apart(pairs, comps).unionByName(_crowd_pairs(members, comps, sets, similarity)))
-    closest = _closest(rest)
-    links, comps = _verified(closest, sets, similarity, links)
-    links, comps = _verified(_apart(rest.join(closest, ["a", "b"], "left_anti").select("a", "b").distinct(), comps), sets, similarity, links)
+    closest = cut(_closest(rest))
+    comps = with_links(comps, _alike(closest, sets, similarity))
+    others = rest.join(closest, ["a", "b"], "left_anti").select("a", "b").distinct()
+    comps = with_links(comps, _alike(_apart(others, comps), sets, similarity))
     place = nodes.join(comps, "node", "left").select("sig", F.coalesce("component", "node").alias("component"))
     return printed.select("id", "sig").join(place, "sig").select("id", "component")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float, links: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """``links`` and those of the pairs that the whole sets confirm, and the components of all."""
-    good = cut(_alike(pairs, sets, similarity))
-    links = good if links is None else links.unionByName(good)
-    return links, connected_components(links)
-
-
 def _crowd_pairs(members: DataFrame, comps: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(a, b, d): the candidates of crowded keys whose texts aren't joined yet, by their complete fingerprints."""
     placed = members.join(comps, "node", "left").select("key", "node", "own", F.coalesce("component", "node").alias("component"))

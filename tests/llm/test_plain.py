@@ -464,3 +464,13 @@ def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(a, b) for a, b in zip(order, order[1:], strict=False)] + [(1000, 1001), (1001, 1001), (None, 3)], "a long, b long")
     found = {r["node"]: r["component"] for r in connected_components(links).collect()}
     assert found == {**dict.fromkeys(range(200), 0), 1000: 1000, 1001: 1000}
+
+
+def test_components_after_further_links(spark):
+    from heddle.llm.components import connected_components, with_links
+
+    of = lambda pairs: spark.createDataFrame(pairs, "a long, b long")
+    first = connected_components(of([(5, 6), (8, 9), (1, 2)]))
+    found = {r["node"]: r["component"] for r in with_links(first, of([(9, 5), (20, 21), (5, 9)])).collect()}
+    assert found == {1: 1, 2: 1, 5: 5, 6: 5, 8: 5, 9: 5, 20: 20, 21: 20}
+    assert with_links(first, of([])).count() == 6 and with_links(connected_components(of([])), of([(2, 1)])).count() == 2
